@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_net, simhash
+from . import decontam, line_dedup, quality_net, simhash
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op10_quality_random_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.scored(docs, quality_net.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
