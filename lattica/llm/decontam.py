@@ -17,9 +17,6 @@ _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x8
 #: A-Z to a-z; every other ASCII character that is in no word to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c in _KEEP else 32 for c in range(256))
 
-_HIT = "doc_id long, n_words long, spans array<struct<at:long,n:long>>, items array<long>"
-
-
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -105,73 +102,65 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in out]
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    return -(-(_items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+
+
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     """The items (item_id, text) in blocks of bounded size; one block is on the driver at a time."""
-    sized = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = -(-(sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+    sized, n = _items(benchmark), benchmark_blocks(benchmark, block_bytes)
     for k in range(n):
         part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, spans of hit words, item_ids found (see contaminated()).
+_FOUND = "__n_words long, __spans array<struct<at:long,n:long>>, __items array<long>"
+_SPANS = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
+
+
+def _scan(source: DataFrame, items: list[tuple[int, str]], window: int) -> DataFrame:
+    """source, whose last column is the text, with what is found in the place of the text."""
+
+    def run(batches):
+        matcher = Matcher(items, window)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [matcher.search(t) for t in part.columns[-1].to_pylist()]
+                out = [pa.array([x[0] for x in found], pa.int64()), pa.array([[{"at": a, "n": n} for a, n in x[1]] for x in found], _SPANS), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], [*part.schema.names[:-1], "__n_words", "__spans", "__items"])
+
+    fields = ", ".join([*(f"`{c}` {t}" for c, t in source.dtypes[:-1]), _FOUND])
+    return source.mapInArrow(run, fields)
+
+
+def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs: the columns `keep`, __n_words, __spans (at, n) of hit words, __items (item_ids found).
 
     A benchmark is sent to the executors in blocks of patterns of a checked size. With one block, the
-    usual case, nothing is shuffled. With more, their results meet by row, so rows of one
-    doc_id and text are one there and get the same result.
+    usual case, nothing is shuffled. With more, their results meet by hash of the text.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def scan(items):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches):
-            matcher = Matcher(shared.value, window)
-            for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
-                    found = [matcher.search(t) for t in part.column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0),
-                            pa.array([x[0] for x in found], pa.int64()),
-                            pa.array([[{"at": a, "n": n} for a, n in x[1]] for x in found], pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))),
-                            pa.array([x[2] for x in found], pa.list_(pa.int64())),
-                        ],
-                        ["doc_id", "n_words", "spans", "items"],
-                    )
-
-        return run
-
-    parts = [source.mapInArrow(scan(items), _HIT) for items in blocks(benchmark, block_bytes)] or [source.mapInArrow(scan([]), _HIT)]
-    if len(parts) == 1:
-        return parts[0]
-    keyed = source.withColumn("key", F.xxhash64("doc_id", "text"))
+    text = F.col("text").cast("string").alias("__text")
+    if benchmark_blocks(benchmark, block_bytes) <= 1:
+        return _scan(docs.select(*keep, text), next(blocks(benchmark, block_bytes), []), window)
+    key = F.xxhash64(F.col("text").cast("string")).alias("__key")
     hits = None
-    for part in [keyed.mapInArrow(_with_key(scan(items)), _HIT + ", key long").where("size(items) > 0") for items in blocks(benchmark, block_bytes)]:
+    for items in blocks(benchmark, block_bytes):
+        part = _scan(docs.select(key, text), items, window).where("size(__items) > 0").select("__key", "__spans", "__items")
         hits = part if hits is None else hits.unionByName(part)
 
     def merge(found):
         return [(a, n) for a, n in union([(x["at"], x["at"] + x["n"]) for x in found])]
 
-    merged = hits.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = merged.select("key", F.udf(merge, "array<struct<at:long,n:long>>")("found").alias("spans"), "items")
-    counted = keyed.mapInArrow(_with_key(scan([])), _HIT + ", key long").select("doc_id", "n_words", "key")
-    empty = F.array()
-    return counted.join(merged, "key", "left").select("doc_id", "n_words", F.coalesce("spans", empty.cast("array<struct<at:long,n:long>>")).alias("spans"), F.coalesce("items", empty.cast("array<long>")).alias("items"))
-
-
-def _with_key(run):
-    def keyed(batches):
-        for batch in batches:
-            at = 0
-            for out in run(iter([batch.select(["doc_id", "text"])])):
-                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2).slice(at, out.num_rows)], [*out.schema.names, "key"])
-                at += out.num_rows
-
-    return keyed
+    # equal texts have equal results, so a set of them stays small for a text with many copies
+    merged = hits.groupBy("__key").agg(F.flatten(F.collect_set("__spans")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("__items"))
+    merged = merged.select("__key", F.udf(merge, "array<struct<at:long,n:long>>")("found").alias("__spans"), "__items")
+    counted = _scan(docs.select(*keep, key, text), [], window).drop("__spans", "__items")
+    return counted.join(merged, "__key", "left").select(*keep, "__n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("__spans", "array<struct<at:long,n:long>>"), ("__items", "array<long>"))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -182,13 +171,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     blank texts have no words and are clean; items with a null id or no words are passed over;
     repeated items and rows count as such; an empty benchmark leaves all documents clean; an empty table gives none.
     """
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    return search(docs, benchmark, window).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans"
+    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    names = F.array_sort(F.transform("__items", lambda x: x.cast("string")))
+    return search(docs, benchmark, ["doc_id"], window).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("__n_words").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("__spans") > 0).alias("contaminated"),
+        F.col("__spans").alias("spans"),
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Those rows of docs, with all their columns, that hold no window of any item."""
+    return search(docs, benchmark, docs.columns, window).where("size(__spans) = 0").select(*(f"`{c}`" for c in docs.columns))
+
+
 def digest(ids: list[int]) -> str:
     """items_sha256 of a list of ids."""
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

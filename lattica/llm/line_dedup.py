@@ -119,8 +119,8 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     return lost, lost.count()
 
 
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketch: int = SKETCH, band: int = BAND) -> DataFrame:
-    """docs with `text` without repeated lines, and n_dropped, the number of lines left out.
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketch: int = SKETCH, band: int = BAND, count_as: str = "n_dropped") -> DataFrame:
+    """docs with `text` without repeated lines, and count_as, the number of lines left out (in the place of any column of that name).
 
     Lines are compared after trimming and lower-casing. Equal lines, and lines of at least this Jaccard similarity of
     character shingles, are linked; of each component the line with the least (doc_id, hash of the row, place) stays.
@@ -134,4 +134,4 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     joined = keyed.join(_small(lost.select(F.col("row").alias("__row"), F.col("drop").alias("__drop")), rows), "__row", "left")
     stay = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__drop", i))
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count_as), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(count_as))

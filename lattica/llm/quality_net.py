@@ -223,12 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted; or, given keep, those columns and `predicted`.
+    """Per row of docs: doc_id, held_out, score, predicted; or, given keep, those columns and `__predicted`.
 
     Null and blank texts are scored as texts without words. Only `text` enters the score.
     """
     passed = keep if keep is not None else ["doc_id"]
-    source = docs.select(*passed, F.col("text").cast("string").alias("__text"))
+    source = docs.select(*(f"`{c}`" for c in passed), F.col("text").cast("string").alias("__text"))
 
     def run(batches):
         encode = Encoder(model.n_words, model.n_shapes)
@@ -240,7 +240,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None, thresho
 
     fields = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
     out = source.mapInArrow(run, f"{fields}, __score double")
-    predicted = (F.col("__score") >= threshold).cast("int").alias("predicted")
+    predicted = (F.col("__score") >= threshold).cast("int")
     if keep is not None:
-        return out.select(*keep, predicted)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), predicted)
+        return out.select(*(f"`{c}`" for c in keep), predicted.alias("__predicted"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), predicted.alias("predicted"))

@@ -42,16 +42,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed 64-bit integer."""
+    """(doc_id, row, fp): the fingerprint of each row's whole text as a signed 64-bit integer; row tells repeats of a doc_id apart."""
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                fps = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                fps = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 class Tree:
@@ -171,16 +172,19 @@ def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per row of docs (doc_id, text; further columns are ignored): doc_id, fingerprint (16 hex digits),
-    component_id (the least doc_id that chains of fingerprints at `radius` or fewer bits reach).
+    component_id (the least doc_id that chains of fingerprints at `radius` or fewer bits reach), row (hash of doc_id and
+    text), first (whether the row is the least of its component by doc_id, then row).
 
     Null and blank texts have fingerprint zero and are linked like any other. Rows of one text have one
     fingerprint and are grouped before any search. Repeated rows are returned as often as they
-    occur; a null doc_id is never a component_id unless no other is reachable. An empty table gives none.
+    occur, each with the same `first`; a null doc_id is never a component_id unless no other is reachable. An empty table gives none.
     """
     rows = cut(fingerprints(docs, shingle))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = rows.groupBy("fp").agg(F.min(order).alias("least"))
     roots = connected(links(classes.select("fp"), radius))
     rooted = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("lowest"))
-    named = rooted.join(linked, "root", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(linked, "root", "left").select("fp", F.coalesce("lowest", "least").alias("lowest"))
+    text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return rows.join(named, "fp").select("doc_id", text, F.col("lowest.doc_id").alias("component_id"), "row", (order == F.col("lowest")).alias("first"))
