@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, packing, pii, quality_net, quality_rules, simhash
+from . import decontam, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op10_quality_random_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.scored(docs, quality_net.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_token_arrow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
