@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files
+from . import decontam, langid, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files
 from .common import table
 
 
+def op1_langid_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
