@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files
+from . import decontam, langid, licenses, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_token_arrow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_license_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op8_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
