@@ -1 +1,22 @@
-"""Spark-first building blocks of the engine."""
+"""The registered queries, by the names of the operators they apply."""
+
+import importlib
+import pkgutil
+
+from . import registry
+
+
+def _load() -> None:
+    for module in pkgutil.iter_modules(__path__):
+        if module.name.endswith("_queries"):
+            importlib.import_module(f"{__name__}.{module.name}")
+
+
+def queries() -> dict:
+    _load()
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(registry.SQL)
