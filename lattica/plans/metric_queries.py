@@ -60,11 +60,11 @@ def e5(spark, sf):
     return M.spread(_summary(spark, sf), ["model", "paradigm", "ratio", "alpha", "classifier"], ["accuracy", "macro_f1"])
 
 
-_DELTA = "base AS (SELECT model AS m, classifier AS c, slice_id AS s, seed AS d, max(accuracy) AS ba, max(macro_f1) AS bf FROM cls WHERE paradigm = 'baseline' GROUP BY ALL), delta AS (SELECT cls.*, round(accuracy - ba, 6) AS delta_accuracy, round(macro_f1 - bf, 6) AS delta_macro_f1 FROM cls LEFT JOIN base ON model = m AND classifier = c AND slice_id = s AND seed = d)"
+_DELTA = "base AS (SELECT model AS m, classifier AS c, slice_id AS s, seed AS d, max(accuracy) AS ba, max(macro_f1) AS bf FROM cls WHERE paradigm = 'baseline' GROUP BY ALL), delta AS (SELECT cls.*, round(accuracy - ba, 12) AS delta_accuracy, round(macro_f1 - bf, 12) AS delta_macro_f1 FROM cls LEFT JOIN base ON model = m AND classifier = c AND slice_id = s AND seed = d)"
 
 
 def _delta(spark, sf):
-    return M.baseline_delta(_summary(spark, sf), F.col("paradigm") == "baseline", ["model", "classifier", "slice_id", "seed"], ["accuracy", "macro_f1"])
+    return M.baseline_delta(_summary(spark, sf), F.col("paradigm") == "baseline", ["model", "classifier", "slice_id", "seed"], ["accuracy", "macro_f1"], places=12)
 
 
 @q("D1", _summary_sql(f", {_DELTA} SELECT {_KEYS}, accuracy, macro_f1, delta_accuracy, delta_macro_f1 FROM delta"))
