@@ -41,8 +41,8 @@ def knn_join(left: DataFrame, right: DataFrame, by: str, key: str, vector: str,
     def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(l) and len(r):
-            r = r.sort_values(key, kind="stable").reset_index(drop=True)
-            names, b = r[key].to_numpy(), np.stack(r[vector].map(np.asarray)).astype(float)
+            r = r.sort_values("_key", kind="stable").reset_index(drop=True)
+            names, b = r["_key"].to_numpy(), np.stack(r["_vector"].map(np.asarray)).astype(float)
             step = max(1, _BLOCK // len(r))
             for at in range(0, len(l), step):
                 part = l.iloc[at : at + step]
@@ -56,8 +56,8 @@ def knn_join(left: DataFrame, right: DataFrame, by: str, key: str, vector: str,
                             out.append((g, name, names[j], d[i, j], rank))
         return pd.DataFrame(out, columns=[by, key, "neighbour", "distance", "rank"])
 
-    cols = [by, key, vector]
-    return left.select(*cols).groupBy(by).cogroup(right.select(*cols).groupBy(by)).applyInPandas(run, fields)
+    other = right.select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.col(vector).alias("_vector"))
+    return left.select(by, key, vector).groupBy(by).cogroup(other.groupBy("_by")).applyInPandas(run, fields)
 
 
 def mapped_coordinates(neighbours: DataFrame, reference: DataFrame, by: str, key: str, how: str = "mean") -> DataFrame:
