@@ -152,7 +152,7 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     hosts = summed(told, "host", "domain")
     domains = cut(summed(hosts, "domain"))
-    every = summed(domains).first()[0] or [0] * k
+    every = [x or 0 for x in summed(domains).first()[0]]
     levels = hosts.join(domains.withColumnRenamed("own", "in_domain"), "domain").select("host", F.col("own").alias("in_host"), "in_domain")
     rows = told.join(levels, "host")
 
