@@ -64,23 +64,24 @@ class Encoder:
         return [np.frombuffer(b"".join(map(self.known.__getitem__, have)), dtype=np.int32) for have in runs]
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([pa.field("input_ids", pa.list_(pa.int32(), length), nullable=False), pa.field("mask", pa.list_(pa.int8(), length), nullable=False)])
+def _schema(length: int, ids: pa.DataType) -> pa.Schema:
+    return pa.schema([pa.field("input_ids", pa.list_(ids, length), nullable=False), pa.field("mask", pa.list_(pa.bool_(), length), nullable=False)])
 
 
-def write_stream(sink, chunks: Iterator[np.ndarray], length: int = SEQUENCE, batch: int = BATCH, meta: dict | None = None) -> int:
+def write_stream(sink, chunks: Iterator[np.ndarray], length: int = SEQUENCE, batch: int = BATCH, meta: dict | None = None, vocabulary: int = 1 << 31) -> int:
     """Writes the ids of all chunks, one after the other, as sequences of `length` in batches of `batch`; the last sequence is filled
-    up with zeros that its mask marks 0. Returns the number of ids."""
-    schema = _schema(length).with_metadata({k: json.dumps(v) for k, v in (meta or {}).items()})
+    up with zeros that its mask marks false. Ids of a vocabulary of at most 65,536 take 16 bits, others 32. Returns the number of ids."""
+    kind = np.uint16 if vocabulary <= 1 << 16 else np.int32
+    schema = _schema(length, pa.from_numpy_dtype(kind)).with_metadata({k: json.dumps(v) for k, v in (meta or {}).items()})
     block, held, n, total = length * batch, [], 0, 0
 
     with pa.ipc.new_stream(sink, schema) as writer:
 
         def put(ids: np.ndarray) -> None:
             rows = -(-len(ids) // length)
-            mask = np.zeros(rows * length, dtype=np.int8)
-            mask[: len(ids)] = 1
-            full = np.zeros(rows * length, dtype=np.int32)
+            mask = np.zeros(rows * length, dtype=bool)
+            mask[: len(ids)] = True
+            full = np.zeros(rows * length, dtype=kind)
             full[: len(ids)] = ids
             writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (full, mask)], schema=schema))
 
@@ -106,22 +107,21 @@ class TokenFile:
         self.length = self.batches[0].schema.field("input_ids").type.list_size if self.batches else SEQUENCE
         self.ends = np.cumsum([b.num_rows for b in self.batches]) * self.length if self.batches else np.zeros(0, dtype=np.int64)
 
-    def _flat(self, k: int, column: str) -> np.ndarray:
-        array = self.batches[k].column(column)
-        return array.values.to_numpy(zero_copy_only=True)
+    def _flat(self, k: int) -> np.ndarray:
+        return self.batches[k].column("input_ids").values.to_numpy(zero_copy_only=True)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of the i-th sequence, as views."""
         k = int(np.searchsorted(self.ends, i * self.length, side="right"))
         at = i * self.length - (int(self.ends[k - 1]) if k else 0)
-        return self._flat(k, "input_ids")[at : at + self.length], self._flat(k, "mask")[at : at + self.length]
+        return self._flat(k)[at : at + self.length], self.batches[k].column("mask").values.slice(at, self.length)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from place start of the file's stream of ids."""
         parts, k = [], int(np.searchsorted(self.ends, start, side="right"))
         while n > 0:
             low = int(self.ends[k - 1]) if k else 0
-            part = self._flat(k, "input_ids")[start - low : start - low + n]
+            part = self._flat(k)[start - low : start - low + n]
             parts.append(part)
             start, n, k = start + len(part), n - len(part), k + 1
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
@@ -155,6 +155,7 @@ def written(docs: DataFrame, path: str | None = None, vocabulary: str | None = N
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, base = _filesystem(path)
         encode, rows, at = Encoder(vocabulary), [], 0
+        size = encode.tokenizer.get_vocab_size()
 
         def chunks():
             nonlocal at
@@ -174,7 +175,7 @@ def written(docs: DataFrame, path: str | None = None, vocabulary: str | None = N
         fs.create_dir(base, recursive=True)
         temporary = f"{base}/.part-{part:06d}-{attempt}"
         with fs.open_output_stream(temporary, compression=None) as sink:
-            write_stream(sink, (x for s in ([first], stream) for x in s), length, meta={"part": part, "end_id": end_id})
+            write_stream(sink, (x for s in ([first], stream) for x in s), length, meta={"part": part, "end_id": end_id}, vocabulary=max(size, end_id + 1))
         fs.move(temporary, f"{base}/part-{part:06d}.arrow")
         for k in range(0, len(rows), 10_000):
             some = rows[k : k + 10_000]

@@ -14,17 +14,18 @@ public = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
 
 
-def test_stream_round_trip():
+@pytest.mark.parametrize("size", [50_000, 100_000])
+def test_stream_round_trip(size):
     rng = np.random.default_rng(0)
     chunks = [rng.integers(0, 50_000, n).astype(np.int32) for n in (5, 0, 700, 33, 1, 4000)]
     sink = io.BytesIO()
-    assert token_files.write_stream(sink, iter(chunks), length=16, batch=4) == 4739
+    assert token_files.write_stream(sink, iter(chunks), length=16, batch=4, vocabulary=size) == 4739
     f = token_files.TokenFile(pa.BufferReader(sink.getvalue()))
     every = np.concatenate(chunks)
     for start, n in ((0, 5), (5, 700), (63, 2), (738, 4001), (4738, 1), (10, 0)):
         assert (f.ids(start, n) == every[start : start + n]).all()
     ids, mask = f.sequence(4739 // 16)
-    assert mask.tolist() == [1] * (4739 % 16) + [0] * (16 - 4739 % 16) and (ids[: 4739 % 16] == every[-(4739 % 16) :]).all()
+    assert mask.to_pylist() == [True] * (4739 % 16) + [False] * (16 - 4739 % 16) and (ids[: 4739 % 16] == every[-(4739 % 16) :]).all()
     assert not f.sequence(3)[0].flags.owndata
 
 
