@@ -34,7 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # shuffle files of what is written are let go when the driver collects its garbage, else up to half an hour later
+    context._jvm.System.gc()
+    return out
 
 
 def words_of(text):

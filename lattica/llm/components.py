@@ -31,10 +31,10 @@ def connected(edges: DataFrame) -> DataFrame:
     shared folder. The table of an empty graph is empty.
     """
     now = cut(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or mark == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
+        roles = now.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        # done when all are stars: no node has two edges up, or one up and one down
+        roles = roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if not roles.where("below > 1 or (below = 1 and above = 1)").limit(1).count():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         now = cut(_small_star(_large_star(now)))

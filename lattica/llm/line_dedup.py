@@ -15,13 +15,13 @@ SIMILARITY = 0.8
 #: share a band with probability 0.996 (a run of 3 common hashes among the 16 least).
 SKETCH = 16
 BAND = 3
-#: Rounds in which a bucket's lines are compared with one line of it, before all pairs of its remaining parts are.
+#: Rounds in which a bucket's lines are compared with one line of it.
 ROUNDS = 2
 #: Broadcast a lookup table only up to so many rows (tens of MB); beyond that it is shuffled.
 BROADCAST_ROWS = 500_000
 
 #: In the order of shingles those that begin so come first, so lines with enough of them need no other.
-_EARLY = "aios0-9"
+_EARLY = "aio"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     row = F.xxhash64("doc_id", "text").alias("row")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc")
     split = docs.select(doc, row, F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    return split.select("doc", "row", "at", F.lower(F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("line")).where("line != ''")
+    return split.select("doc", "row", "at", F.lower(F.btrim("raw", F.lit(" \t\n\x0b\f\r"))).alias("line")).where("line != ''")
 
 
 def _hashed(line, pattern: str):
@@ -52,16 +52,16 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of line ids whose sets of shingles have at least this Jaccard similarity."""
+    """Those of the pairs (a, b, ra, rb) of line ids and their roots whose sets of shingles have at least this Jaccard similarity."""
 
     def grams(c):
         return F.array_distinct(_hashed(c, f"(?s)(?=(.{{{shingle}}}))"))
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     # the lengths of two sets of such similarity differ by less than this; a line of n characters has at most n - shingle + 1 of them
-    sets = both.select("a", "b", grams("la").alias("ga"), grams("lb").alias("gb")).where(F.least(F.size("ga"), F.size("gb")) >= F.greatest(F.size("ga"), F.size("gb")) * similarity)
-    common = sets.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("n"))
-    return common.where(F.col("n") > 0).where(F.col("n") >= (F.col("na") + F.col("nb") - F.col("n")) * similarity).select("a", "b")
+    sets = both.select("ra", "rb", grams("la").alias("ga"), grams("lb").alias("gb")).where(F.least(F.size("ga"), F.size("gb")) >= F.greatest(F.size("ga"), F.size("gb")) * similarity)
+    common = sets.select("ra", "rb", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("n"))
+    return common.where(F.col("n") > 0).where(F.col("n") >= (F.col("na") + F.col("nb") - F.col("n")) * similarity).select("ra", "rb")
 
 
 def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -73,29 +73,71 @@ def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return named.join(mixed, "key", "left_semi")
 
 
+def _paired(rows: DataFrame) -> DataFrame:
+    """(a, b, ra, rb) once for each pair, from rows with id, root, id2, root2."""
+    up = F.col("id") > F.col("id2")
+    pick = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
+    return rows.select(pick("id", "id2").alias("a"), pick("id2", "id").alias("b"), pick("root", "root2").alias("ra"), pick("root2", "root").alias("rb")).distinct()
+
+
+class _Links:
+    """Components found so far among lines that meet in buckets."""
+
+    def __init__(self, texts: DataFrame, shingle: int, similarity: float):
+        self.texts, self.shingle, self.similarity = texts, shingle, similarity
+        self.roots = None
+
+    def add(self, pairs: DataFrame) -> None:
+        """Joins the components of similar pairs; the union-find runs over components, not lines."""
+        self.join(_similar(pairs, self.texts, self.shingle, self.similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+    def join(self, edges: DataFrame) -> None:
+        found = connected(edges)
+        if self.roots is None:
+            self.roots = found
+            return
+        moved = self.roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        own = found.join(self.roots.select("node"), "node", "left_anti")
+        self.roots = cut(moved.unionByName(own))
+
+    def star(self, entries: DataFrame, seed: int) -> DataFrame:
+        """Compares one line of each bucket, its centre, with the bucket's lines of other components; the entries that are left,
+        without the centres, all of whose pairs are settled then.
+
+        A large group of near copies becomes one component that way, at a cost in proportion to its size.
+        """
+        now = cut(_rooted(entries, self.roots))
+        centre = now.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(seed))).alias("c")).select("key", F.col("c.id").alias("id2"), F.col("c.root").alias("root2"))
+        self.add(_paired(now.join(centre, "key").where("root != root2")))
+        return now.join(centre.select("key", F.col("id2").alias("id")), ["key", "id"], "left_anti").select("key", "id")
+
+    def rest(self, now: DataFrame) -> None:
+        """Compares all pairs of different components that share a bucket, each in the first bucket that it shares.
+
+        The lines of a bucket are brought together once; pairs are tested inside the join, so only links leave it.
+        """
+        keys = now.groupBy("id").agg(F.collect_list("key").alias("keys"))  # as many as a line has bands
+        lines = now.join(self.texts.join(keys, "id"), "id").select("key", "id", "root", "keys", "line").repartition("key")
+        one = lines.select("key", "id", "root", "keys", F.array_distinct(_hashed("line", f"(?s)(?=(.{{{self.shingle}}}))")).alias("grams"))
+        two = one.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("keys").alias("keys2"), F.col("grams").alias("grams2"))
+        n, m, common = F.size("grams"), F.size("grams2"), F.size(F.array_intersect("grams", "grams2"))
+        near = (F.least(n, m) > 0) & (F.least(n, m) >= F.greatest(n, m) * self.similarity) & (common >= (n + m - common) * self.similarity)
+        first = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
+        found = one.join(two, (F.col("key") == F.col("key2")) & (F.col("id") > F.col("id2")) & (F.col("root") != F.col("root2")) & first & near)
+        self.join(found.select(F.col("root").alias("a"), F.col("root2").alias("b")))
+
+
 def _linked(entries: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Components (node, root) of lines that share a bucket and are similar.
+    """Components (node, root) of lines that share a band and are similar.
 
-    In each round one line of every bucket, its centre, is compared with the bucket's lines of other components and
-    then leaves the bucket, all its pairs being settled. A large group of near copies becomes one component that
-    way, at a cost in proportion to its size. What is left in several components is compared pair by pair, so no link
-    is lost.
+    Most lines are settled by comparing the lines of each bucket with a few centres, at a cost in proportion to their number; in buckets
+    that still hold several components, all pairs of these are compared, so no link is lost.
     """
-    edges, roots = None, None
-    for k in range(ROUNDS + 1):
-        now = _rooted(entries, roots)
-        if k < ROUNDS:
-            now = cut(now)
-            centre = now.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(k))).alias("c"))
-            pairs = now.join(centre, "key").where("root != c.root").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
-            entries = now.join(centre.select("key", F.col("c.id").alias("id")), ["key", "id"], "left_anti").select("key", "id")
-        else:
-            other = now.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
-            pairs = now.join(other, "key").where("id > id2 and root != root2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-        found = cut(_similar(pairs, texts, shingle, similarity))
-        edges = found if edges is None else edges.unionByName(found)
-        roots = connected(edges)
-    return roots
+    links = _Links(texts, shingle, similarity)
+    for k in range(ROUNDS):
+        entries = links.star(entries, k)
+    links.rest(cut(_rooted(entries, links.roots)))
+    return links.roots
 
 
 def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketch: int = SKETCH, band: int = BAND) -> tuple[DataFrame, int]:
@@ -105,8 +147,9 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     distinct = _sketched(lines, shingle, sketch, band).select("id", "doc", "row", "at", "keys")
     distinct = cut(distinct.groupBy("id").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")))
     bands = distinct.select("id", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key")
-    entries = cut(bands.join(shared, "key", "left_semi").select("key", "id").distinct())
+    # a line has a band once, so a band counted twice is shared by two lines
+    shared = cut(bands.groupBy("key").count().where("count > 1").select("key"))
+    entries = cut(bands.join(_small(shared, shared.count()), "key", "left_semi").select("key", "id"))
     asked = entries.select("id").distinct()
     texts = lines.select("id", "line").join(_small(asked, asked.count()), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     roots = _linked(entries, cut(texts), shingle, similarity)
