@@ -77,7 +77,10 @@ def context_sums(docs: DataFrame, n_words: int = N_WORDS, n_shapes: int = N_SHAP
 
         def flush(held):
             w, s = (np.concatenate(x) for x in zip(*held))
-            add(w[1:], w[:-1]), add(w[:-1], w[1:]), add(w, s), add(s, w)
+            inside = np.ones(len(w), dtype=bool)
+            inside[np.cumsum([len(x) for x, _ in held if len(x)]) - 1] = False
+            i = np.nonzero(inside)[0]  # words with a next one in their document
+            add(w[i + 1], w[i]), add(w[i], w[i + 1]), add(w, s), add(s, w)
 
         held, size = [], 0
         for batch in batches:
@@ -88,7 +91,7 @@ def context_sums(docs: DataFrame, n_words: int = N_WORDS, n_shapes: int = N_SHAP
                 if size > 1_000_000:
                     flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             flush(held)
         table = total.reshape(rows, dim).astype(np.int64)
         used = np.nonzero(table.any(axis=1))[0]
