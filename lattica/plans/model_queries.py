@@ -325,11 +325,11 @@ def a20(spark, sf):
     return B.read_positions(spark, path).select("barcode", "pixel_row", "pixel_col")
 
 
-@query("A21", "SELECT obs_name AS key, [round(list_sum(vec) / 64, 4), round(list_max(vec), 4)]::DOUBLE[] AS embedding FROM spots")
+@query("A21", "SELECT obs_name AS key, [round(list_sum(vec) / 64, 4) + 0, round(list_max(vec), 4) + 0]::DOUBLE[] AS embedding FROM spots")
 def a21(spark, sf):
     patches = spots(spark, sf).select(F.col("obs_name").alias("key"), F.col("vec").alias("pixels"))
     out = B.embed_patches(patches, lambda: lambda x: np.stack([x.mean(axis=1), x.max(axis=1)], axis=1), 2)
-    return out.select("key", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("embedding"))
+    return out.select("key", F.transform("embedding", lambda v: F.round(v.cast("double"), 4) + 0.0).alias("embedding"))
 
 
 @query("A31", "SELECT DISTINCT model, ratio FROM pred WHERE ratio IS NOT NULL AND model <> 'click'")
