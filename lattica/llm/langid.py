@@ -18,13 +18,83 @@ BINS = 16_384
 EVIDENCE = 150
 #: How often a declaration or an address tells the truth.
 DECLARED, ADDRESS = 0.9, 0.8
-#: Pages that a prior counts for against those below it, and languages that are told apart (the most frequent ones).
+#: Pages that a prior counts for against those below it.
 STRENGTH = 5.0
-MAX_LANGS = 64
+#: Up to so many languages the model is one dense table and arrays of all are summed by columns; beyond that the table is
+#: sparse and sums go by rows. Both are of all languages.
+DENSE = 64
 #: Soft counts are summed as millionths, so sums do not depend on their order.
 UNIT = 1_000_000
-#: Languages of country suffixes.
-SUFFIXES = {"at": "de", "de": "de", "li": "de", "ar": "es", "cl": "es", "co": "es", "es": "es", "mx": "es", "pe": "es", "fr": "fr", "sn": "fr", "au": "en", "ie": "en", "nz": "en", "uk": "en", "us": "en"}
+#: Languages and the country suffixes where most pages are in them. Suffixes of countries with several (be, ca, ch, in, lu, sg,
+#: za and the like) and those sold for any use (ai, io, me, tv and the like) tell none; there a folder may.
+_COUNTRIES = {
+    "ar": "ae bh eg iq jo kw ly om ps qa sa sd sy ye xn--lgbbat1ad8j xn--mgb9awbf xn--mgbaam7a8h xn--mgbayh7gpa xn--mgbc0a9azcg xn--mgberp4a5d4ar xn--mgbtx2b xn--ogbpf8fl xn--pgbs0dh xn--wgbh1c xn--wgbl6a",
+    "az": "az",
+    "be": "xn--90ais",
+    "bg": "bg xn--90ae",
+    "bn": "bd xn--45brj9c xn--54b7fta0cc",
+    "bs": "ba",
+    "ca": "cat",
+    "cs": "cz",
+    "da": "dk",
+    "de": "at de li",
+    "el": "gr xn--qxam",
+    "en": "au bb bm bs dm gd gh gi gy ie jm kn ky lr ng nz sl tt uk us zm zw",
+    "es": "ar bo cl co cr cu do ec es gt hn mx ni pa pe pr py sv uy ve",
+    "et": "ee",
+    "eu": "eus",
+    "fa": "ir xn--mgba3a4f16a",
+    "fi": "fi",
+    "fo": "fo",
+    "fr": "bf bj bl cd cg ci fr gf gn gp mc mg mq nc ne pf pm sn tf tg wf yt",
+    "gl": "gal",
+    "gu": "xn--gecrj9c",
+    "he": "il xn--4dbrk0ce",
+    "hi": "xn--h2brj9c",
+    "hr": "hr",
+    "hu": "hu",
+    "hy": "xn--y9a3aq",
+    "id": "id",
+    "is": "is",
+    "it": "it sm va",
+    "ja": "jp",
+    "ka": "ge xn--node",
+    "kk": "xn--80ao21a",
+    "kl": "gl",
+    "km": "kh",
+    "ko": "kp kr xn--3e0b707e",
+    "lt": "lt",
+    "lv": "lv",
+    "mk": "mk xn--d1alf",
+    "mn": "mn xn--l1acc",
+    "ms": "bn",
+    "my": "mm",
+    "ne": "np",
+    "nl": "nl sr",
+    "no": "no sj",
+    "pa": "xn--s9brj9c",
+    "pl": "pl",
+    "pt": "ao br cv gw mz pt tl",
+    "ro": "md ro",
+    "ru": "ru su xn--p1ai",
+    "sk": "sk",
+    "sl": "si",
+    "so": "so",
+    "sq": "al xk",
+    "sr": "rs xn--90a3ac",
+    "sv": "ax se",
+    "ta": "xn--xkc2dl3a5ee0h",
+    "te": "xn--fpcrj9c3d",
+    "tg": "tj",
+    "th": "th xn--o3cw4h",
+    "tr": "tr",
+    "uk": "ua xn--j1amh",
+    "ur": "xn--mgbai9azgqp6j xn--mgbbh1a71e",
+    "uz": "uz",
+    "vi": "vn",
+    "zh": "cn tw xn--fiqs8s xn--fiqz9s xn--j6w193g xn--kprw13d xn--kpry57d",
+}
+SUFFIXES = {suffix: lang for lang, suffixes in _COUNTRIES.items() for suffix in suffixes.split()}
 #: Second levels under which hosts are registered.
 _SECOND = frozenset(("ac", "co", "com", "edu", "gov", "net", "org"))
 
@@ -64,40 +134,70 @@ def trigrams(text: str | None, bins: int = BINS) -> np.ndarray:
 
 
 class TextModel:
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs = langs
-        smooth = counts + 0.5
-        self.log = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+    """Log shares of trigram bins by language, from counts: arrays lang, bin and n of those that are not 0."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, cell: np.ndarray, n: np.ndarray, bins: int = BINS):
+        self.langs, self.bins = langs, bins
+        totals = np.bincount(lang, weights=n, minlength=len(langs)) + 0.5 * bins
+        self.unseen = np.log(0.5 / totals)
+        self.dense = len(langs) <= DENSE
+        if self.dense:
+            smooth = np.full((len(langs), bins), 0.5)
+            smooth[lang, cell] += n
+            self.log = np.log(smooth / totals[:, None])
+            return
+        # by bin: the languages that have it, and how much more than an unseen bin it says for them
+        order = np.argsort(cell, kind="stable")
+        self.lang = lang[order].astype(np.int32)
+        self.more = np.log1p(n[order] / 0.5)
+        self.start = np.searchsorted(cell[order], np.arange(bins + 1))
 
     def evidence(self, text: str | None) -> np.ndarray:
         """Log likelihood of the text in each language, as of at most EVIDENCE trigrams."""
-        bins = trigrams(text)
-        if not len(bins):
+        found = trigrams(text, self.bins)
+        if not len(found):
             return np.zeros(len(self.langs))
-        return self.log[:, bins].mean(axis=1) * min(len(bins), EVIDENCE)
+        if self.dense:
+            return self.log[:, found].mean(axis=1) * min(len(found), EVIDENCE)
+        cells, times = np.unique(found, return_counts=True)
+        sizes = self.start[cells + 1] - self.start[cells]
+        at = np.arange(sizes.sum()) + np.repeat(self.start[cells] - np.cumsum(sizes) + sizes, sizes)
+        more = np.bincount(self.lang[at], weights=self.more[at] * np.repeat(times, sizes), minlength=len(self.langs))
+        return (self.unseen + more / len(found)) * min(len(found), EVIDENCE)
 
 
-def text_model(docs: DataFrame, bins: int = BINS, max_langs: int = MAX_LANGS) -> TextModel:
-    """Trigram counts of all texts of docs (text, lang), by language; the model, not the corpus, comes to the driver."""
+def text_model(docs: DataFrame, bins: int = BINS) -> TextModel:
+    """Trigram counts of all texts of docs (text, lang), by every language; the model, not the corpus, comes to the driver."""
     known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
 
     def run(batches):
-        number = {lang: k for k, lang in enumerate(langs)}
-        counts = np.zeros((len(langs), bins), dtype=np.int64)
+        held: dict = {}
+
+        def part():
+            for lang, counts in held.items():
+                cell = np.nonzero(counts)[0]
+                # a text without trigrams makes its language known as well
+                cell = cell if len(cell) else np.zeros(1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(counts[cell])], ["lang", "bin", "n"])
+            held.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if lang in number:
-                    counts[number[lang]] += np.bincount(trigrams(text.as_py(), bins), minlength=bins)
-        lang, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[lang, cell])], ["lang", "bin", "n"])
-
-    sums = known.mapInArrow(run, "lang int, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(langs), bins))
-    got = sums.toArrow()
-    if got.num_rows:
-        counts[got["lang"].to_numpy(), got["bin"].to_numpy()] = got["n"].to_numpy()
-    return TextModel(langs, counts)
+                if lang not in held:
+                    if len(held) >= DENSE:
+                        yield from part()
+                    held[lang] = np.zeros(bins, dtype=np.int64)
+                held[lang] += np.bincount(trigrams(text.as_py(), bins), minlength=bins)
+        yield from part()
+
+    got = known.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    coded = got["lang"].combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    place = {lang: k for k, lang in enumerate(langs)}
+    number = np.array([place[x] for x in names], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, dtype=np.int64)
+    return TextModel(langs, number, got["bin"].to_numpy().astype(np.int64), got["n"].to_numpy(), bins)
 
 
 def _shares(log: np.ndarray) -> np.ndarray:
@@ -109,7 +209,9 @@ def _told(langs: list[str], said: str | None, truth: float) -> np.ndarray:
     """Log likelihood of what was said; nothing said, or an unknown language, is no evidence."""
     if said not in langs or len(langs) < 2:
         return np.zeros(len(langs))
-    return np.log([truth if lang == said else (1 - truth) / (len(langs) - 1) for lang in langs])
+    out = np.full(len(langs), np.log((1 - truth) / (len(langs) - 1)))
+    out[langs.index(said)] = np.log(truth)
+    return out
 
 
 def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -148,6 +250,9 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return told.select("page_id", "host", nothing.cast("string").alias("lang"), nothing.cast("double").alias("posterior"), "declared", "address_lang", "text_lang", nothing.cast("double").alias("host_prior"), "n_trigrams")
 
     def summed(df, *by):
+        if k > DENSE:
+            each = df.select(*by, F.posexplode("own").alias("at", "n")).groupBy(*by, "at").agg(F.sum("n").alias("n"))
+            return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("own"))
         return df.groupBy(*by).agg(F.array(*(F.sum(F.col("own")[i]) for i in range(k))).alias("own"))
 
     hosts = summed(told, "host", "domain")
