@@ -10,12 +10,33 @@ KEY = "lattica-demo-key"  # give your own; equal values have equal pseudonyms un
 
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_YEAR, _MONTH, _DAY = r"(?:1[7-9]|20)[0-9]{2}", r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12][0-9]|0?[1-9])"
+#: Phones of 3-3-4 digits, and those with a country code (none begins another), a trunk 0 in brackets, and digits with single separators.
+_PHONE_334 = rf"(?:\+[0-9]{{1,3}}[ .\-]?)?(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[.\-])[0-9]{{3}}[.\-][0-9]{{4}}"
+_COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+#: What after a blank is no part of a phone number: dates, social security numbers, IPv4 addresses and cards.
+_OTHER = rf"(?!(?:[0-9]{{4}}[.\-/]{_MONTH}[.\-/]{_DAY}|[0-9]{{1,2}}[.\-/][0-9]{{1,2}}[.\-/]{_YEAR}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}|(?:{_OCTET}\.){{3}}{_OCTET}|[0-9]{{4}}(?:[ \-][0-9]{{4}}){{3}})(?![0-9A-Za-z]|\.[0-9]))"
+_GAP = rf"(?:[.\-/]| {_OTHER})?"
+_TRUNK = r"(?:[ .\-/]?\(0\))?"
+_PHONE_ABROAD = rf"(?:\+{_COUNTRY}|00 ?{_COUNTRY}(?= )){_TRUNK}{_GAP}(?:\([0-9]{{2,5}}\){_GAP}[0-9](?:{_GAP}[0-9]){{3,9}}|[0-9](?:{_GAP}[0-9]){{5,12}})"
+
+
+def _dates() -> str:
+    """Year first, or last with the day before the month or after it, of one or two digits; not within longer runs of such numbers."""
+    forms = []
+    for sep in (r"\-", "/", r"\."):
+        first = rf"{_YEAR}[.](?:0[1-9]|1[0-2])[.](?:0[1-9]|[12][0-9]|3[01])" if sep == r"\." else rf"{_YEAR}{sep}{_MONTH}{sep}{_DAY}"
+        forms.append(rf"(?<![0-9]{sep})(?:{first}|{_DAY}{sep}{_MONTH}{sep}{_YEAR}|{_MONTH}{sep}{_DAY}{sep}{_YEAR})(?!{sep}[0-9]|[0-9])")
+    return "|".join(forms)
+
+
+_DATE_PADDED = rf"(?:1[7-9]|20)[0-9]{{2}}([\-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:1[7-9]|20)[0-9]{{2}}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:1[7-9]|20)[0-9]{{2}}"
 #: What may be personal data. Numbers that a check digit or the calendar refutes are left alone.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}[ .\-]?)?(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[.\-])[0-9]{{3}}[.\-][0-9]{{4}}{_END}",
+    "phone": rf"(?<![0-9A-Za-z+])(?:{_PHONE_334}|{_PHONE_ABROAD}){_END}",
     "ssn": rf"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
-    "date": rf"{_EDGE}(?:(?:1[7-9]|20)[0-9]{{2}}([\-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:1[7-9]|20)[0-9]{{2}}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:1[7-9]|20)[0-9]{{2}}){_END}",
+    "date": rf"{_EDGE}(?:{_DATE_PADDED}|{_dates()}){_END}",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "card": rf"{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}([ \-])[0-9]{{4}}\2[0-9]{{4}}\2[0-9]{{4}}){_END}",
 }
@@ -23,6 +44,8 @@ _ANY = "|".join(PATTERNS.values())
 
 #: 400 years of the calendar from here are a whole number of cycles: 146097 = 189 * 773 days.
 _EPOCH, _WEEKS, _DAYS = "1700-01-01", 189, 773
+#: Steps in which a permuted day and month that no calendar has (at most 3 of 100) are permuted again.
+_WALK = 24
 
 
 def _prf(key: str, kind: str, *parts):
@@ -82,7 +105,20 @@ def _card(key: str, m):
 def _phone(key: str, m):
     national = F.substring(F.regexp_replace(m, "[^0-9]", ""), -10, 10)
     new = F.transform(F.array(_permuted_digits(key, "phone", national)), lambda d: F.regexp_replace(m, F.lit("[0-9]{3}([^0-9]+)[0-9]{3}([^0-9]+)[0-9]{4}$"), F.concat(F.substring(d, 1, 3), F.lit("$1"), F.substring(d, 4, 3), F.lit("$2"), F.substring(d, 7, 4))))
-    return new[0]
+    return F.when(m.rlike(f"^(?:{_PHONE_334})$"), new[0]).otherwise(_phone_abroad(key, m))
+
+
+def _phone_abroad(key: str, m):
+    """The country code and a trunk 0 stay; the other digits are permuted, each in its place."""
+    head = F.regexp_extract(m, rf"^(?:\+|00 ?){_COUNTRY}{_TRUNK}", 0)
+    rest = F.substring(m, F.length(head) + 1, F.length(m))
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+
+    def laid_out(new):
+        place = lambda c, i: F.when(c.between("0", "9"), F.substring(new, F.length(digits(F.substring(rest, F.lit(1), i + 1))), F.lit(1))).otherwise(c)
+        return F.concat(head, F.array_join(F.transform(F.split(rest, ""), place), ""))
+
+    return F.transform(F.array(_permuted_digits(key, "phone", digits(rest))), laid_out)[0]
 
 
 def _ip(key: str, m):
@@ -117,7 +153,46 @@ def _date(key: str, m):
         new = F.date_add(F.lit(_EPOCH).cast("date"), (s["x"] * _DAYS + s["y"]).cast("int"))
         return F.when(iso & m.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(iso, F.date_format(new, "yyyy/MM/dd")).when(german, F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
 
-    return F.when(day <= F.dayofmonth(F.last_day(first)), F.transform(F.array(out), text)[0])
+    padded = F.when(day <= F.dayofmonth(F.last_day(first)), F.transform(F.array(out), text)[0])
+    return F.when(m.rlike(f"^(?:{_DATE_PADDED})$"), padded).otherwise(_date_as_written(key, m))
+
+
+def _date_as_written(key: str, m):
+    """Dates with as many digits of day and month, in the same order, permuted among themselves.
+
+    With a slash the month comes first and else the day, unless that number is over 12: such days (13 to 31) are permuted among such days.
+    """
+    form = r"^([0-9]+)([\-/.])([0-9]+)[\-/.]([0-9]+)$"
+    p, sep, q, r = (F.regexp_extract(m, form, k) for k in (1, 2, 3, 4))
+    iso, slash = F.length(p) == 4, sep == "/"
+    one, two = F.when(iso, q).otherwise(p), F.when(iso, r).otherwise(q)
+    year = F.when(iso, p).otherwise(r).cast("int")
+    late = ~iso & (F.when(slash, one).otherwise(two).cast("int") > 12)
+    month_first = iso | (slash != late)
+    day, month = F.when(month_first, two).otherwise(one), F.when(month_first, one).otherwise(two)
+    low = F.when(late, 13).otherwise(1)
+    days = F.when(F.length(day) == 1, 9).when(late, 19).otherwise(31)
+    months = F.when(F.length(month) == 1, 9).otherwise(12)
+
+    def exists(y, mo, d):
+        return d <= F.dayofmonth(F.last_day(F.make_date(y.cast("int"), mo.cast("int"), F.lit(1))))
+
+    def state(x, y, ok):
+        return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), ok.alias("ok"))
+
+    def step(s, _):
+        again = F.transform(F.array(_feistel(key, "date", s["x"], s["y"], F.lit(400), days * months)), lambda t: state(t["x"], t["y"], exists(t["x"] + 1700, F.floor(t["y"] / days) + 1, F.pmod(t["y"], days.cast("long")) + low)))
+        return F.when(s["ok"], s).otherwise(again[0])
+
+    def text(s):
+        d, mo = _pad(F.pmod(s["y"], days.cast("long")) + low, F.length(day)), _pad(F.floor(s["y"] / days) + 1, F.length(month))
+        first, second = F.when(month_first, mo).otherwise(d), F.when(month_first, d).otherwise(mo)
+        y = (s["x"] + 1700).cast("string")
+        return F.when(s["ok"], F.when(iso, F.concat(y, sep, first, sep, second)).otherwise(F.concat(first, sep, second, sep, y)))
+
+    start = state(year - 1700, (month.cast("int") - 1) * days + day.cast("int") - low, F.lit(False))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, step)
+    return F.when(exists(year, month.cast("int"), day.cast("int")), F.transform(F.array(out), text)[0])
 
 
 def _email(key: str, m):
@@ -143,7 +218,7 @@ def _pseudonym(key: str, m):
     of = {"email": _email, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "card": _card}
     value = kind = None
     # a match of several patterns is what the first of them says, as in the search
-    for name, test in (("email", "@"), ("phone", r"^\+|^\(|^[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}$"), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("date", r"^[0-9]{4}[\-/][0-9]{2}[\-/][0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$"), ("ip", r"\."), ("card", "")):
+    for name, test in (("email", "@"), ("phone", rf"^\+|^\(|^[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}$|^(?:{_PHONE_ABROAD})$"), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("date", r"^[0-9]{4}([\-/.])[0-9]{1,2}\1[0-9]{1,2}$|^[0-9]{1,2}([\-/.])[0-9]{1,2}\2[0-9]{4}$"), ("ip", r"\."), ("card", "")):
         new = of[name](key, m)
         hit = m.rlike(test)
         value = F.when(hit, new) if value is None else value.when(hit, new)
@@ -154,7 +229,9 @@ def _pseudonym(key: str, m):
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with `text` where personal data has pseudonyms of its format, and n_<kind> for each kind: how many were replaced.
 
-    Kinds: email, phone, ssn, date, ip, card (see PATTERNS). Card numbers need a right check digit and get one; dates must exist
+    Kinds: email, phone, ssn, date, ip, card (see PATTERNS). Phones are of 3-3-4 digits with a bracket, dot or hyphen, or have a country
+    code after + or 00; dates are numbers with a year of four digits, first or last. Phones of other forms without a country code,
+    two-digit years and names of months are not covered. Card numbers need a right check digit and get one; dates must exist
     and stay within 1700 to 2099; social security numbers must be in use. Each is permuted by a Feistel network under the key,
     so equal values have equal pseudonyms in all documents, different values of a format different ones, and whoever has the
     key can go back. Everything else in the text stays as it is. Null and blank texts stay; repeated rows
