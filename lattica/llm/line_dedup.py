@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from .components import connected
 SHINGLE = 8
 SIMILARITY = 0.8
 #: Least hashes that make a line's sketch, and consecutive ones of them that make a band. Two lines of similarity 0.8
-#: share a band with probability 0.996 (a run of 3 common hashes among the 16 least).
+#: share a band with probability 0.996 (a run of 3 common hashes among the 16 least). Lines of so few shingles that two similar
+#: ones may have no such run have single hashes as bands too, enough of them that no such pair is missed.
 SKETCH = 16
 BAND = 3
 #: Rounds in which a bucket's lines are compared with one line of it.
@@ -36,15 +39,28 @@ def _hashed(line, pattern: str):
     return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
 
 
-def _sketched(lines: DataFrame, shingle: int, sketch: int, band: int) -> DataFrame:
-    """lines with `keys`: hashes of the runs of `band` consecutive least hashes among the `sketch` least."""
+def _few(similarity: float, sketch: int, band: int) -> int:
+    """The most shingles of a line that may share no run with a similar one.
+
+    c common shingles that e others part have a run of `band` unless c <= (band - 1) * (e + 1), and e <= c * (1 / similarity - 1).
+    """
+    part = 1 - (band - 1) * (1 / similarity - 1)
+    return min(sketch - 1, math.floor((band - 1) / part / similarity + 1e-9)) if part > 0 else sketch - 1
+
+
+def _sketched(lines: DataFrame, shingle: int, sketch: int, band: int, similarity: float) -> DataFrame:
+    """lines with `keys`: hashes of the runs of `band` consecutive least hashes among the `sketch` least; of lines of few shingles also
+    so many single least hashes (n less those that a similar line must have, and 1) that similar lines share one."""
     tail = f".{{{shingle - 1}}}"
     early = lines.withColumn("early", F.array_distinct(_hashed("line", f"(?s)(?=([{_EARLY}]{tail}))")))
     least = F.slice(F.sort_array("early"), 1, sketch)
     rest = F.sort_array(F.array_distinct(_hashed("line", f"(?s)(?=([^{_EARLY}]{tail}))")))
     both = early.withColumn("least", F.when(F.size("early") >= sketch, least).otherwise(F.slice(F.concat(least, rest), 1, sketch))).drop("early")
     runs = F.transform(F.slice("least", 1, F.greatest(F.size("least") - (band - 1), F.lit(1))), lambda x, i: F.xxhash64(x, *(F.get("least", i + j) for j in range(1, band))))
-    return both.withColumn("keys", F.when(F.size("least") == 0, F.array().cast("array<long>")).otherwise(runs)).drop("least")
+    n = F.size("least")
+    single = F.transform(F.slice("least", 1, n - F.ceil(n * similarity - 1e-9).cast("int") + 1), lambda x: F.xxhash64(x, F.lit("single")))
+    runs = F.when(n <= _few(similarity, sketch, band), F.concat(runs, single)).otherwise(runs)
+    return both.withColumn("keys", F.when(n == 0, F.array().cast("array<long>")).otherwise(runs)).drop("least")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -144,7 +160,7 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     """(row, drop), rows: for each row of docs that loses lines the numbers (from 0) of those lines, and how many such rows there are."""
     lines = _lines(docs).withColumn("id", F.xxhash64("line"))
     first = F.struct("doc", "row", "at")
-    distinct = _sketched(lines, shingle, sketch, band).select("id", "doc", "row", "at", "keys")
+    distinct = _sketched(lines, shingle, sketch, band, similarity).select("id", "doc", "row", "at", "keys")
     distinct = cut(distinct.groupBy("id").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")))
     bands = distinct.select("id", F.explode("keys").alias("key"))
     # a line has a band once, so a band counted twice is shared by two lines
