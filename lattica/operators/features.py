@@ -100,7 +100,7 @@ def scaled(train: DataFrame, test: DataFrame, vector: str, d: int) -> tuple[Data
 
 _FACTORIES = {
     "lr": lambda d, k, seed: LogisticRegression(maxIter=100, standardization=False, weightCol="_w"),
-    "gbt": lambda d, k, seed: GBTClassifier(maxIter=20, seed=seed, weightCol="_w") if k == 2 else OneVsRest(classifier=GBTClassifier(maxIter=20, seed=seed)),
+    "gbt": lambda d, k, seed: GBTClassifier(maxIter=20, seed=seed, weightCol="_w") if k == 2 else OneVsRest(classifier=GBTClassifier(maxIter=20, seed=seed), weightCol="_w", parallelism=4),
     "forest": lambda d, k, seed: RandomForestClassifier(numTrees=50, seed=seed, weightCol="_w"),
     "mlp": lambda d, k, seed: MultilayerPerceptronClassifier(layers=[d, 64, k], maxIter=100, seed=seed),
 }
@@ -117,16 +117,26 @@ def train_classifier(train: DataFrame, vector: str, label: str, name: str = "lr"
     if name == "lr":
         estimator = estimator.setRegParam(1.0 / (c * n))
     ready = indexer.transform(rows.withColumn("_w", F.col("_w") / mean)).withColumn("_f", array_to_vector(vector))
+    if isinstance(estimator, OneVsRest):
+        # the indexer's metadata count a class for unseen labels, of which no row is
+        ready = ready.withColumn("_y", F.col("_y").alias("_y", metadata={}))
     return indexer, estimator.setFeaturesCol("_f").setLabelCol("_y").fit(ready)
 
 
 def predict(models: tuple[Model, Model], test: DataFrame, vector: str, positive: int | None = None) -> DataFrame:
-    """test with y_pred, and with score, the probability of class number `positive`, if one is given."""
+    """test with y_pred, and with score, the probability of class number `positive`, if one is given.
+
+    The probabilities of boosted trees for one class against the rest are divided by their sum.
+    """
     indexer, model = models
     out = model.transform(test.withColumn("_f", array_to_vector(vector)))
     labels = F.array(*(F.lit(x) for x in indexer.labels))
     out = out.withColumn("y_pred", labels[F.col("prediction").cast("int")])
-    if positive is not None:
+    if positive is not None and "probability" not in out.columns:
+        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        out = out.withColumn("score", F.get(each, F.lit(positive)) / total)
+    elif positive is not None:
         out = out.withColumn("score", vector_to_array("probability")[positive])
     return out.select(*test.columns, "y_pred", *(["score"] if positive is not None else []))
 

@@ -191,14 +191,14 @@ def n2(spark, sf):
     return out.select("obs_name", F.transform("features", lambda v: F.round(v, 5)).alias("features"))
 
 
-def _two(spark, sf):
-    s = A.stratified_split(spots(spark, sf).where("label in ('L0', 'L1')"), ["label"], 0.6, 42, "obs_name").withColumn("w", 1.0 + F.col("pos") % 3)
+def _split(spark, sf):
+    s = A.stratified_split(spots(spark, sf).where("label is not null"), ["label"], 0.6, 42, "obs_name").withColumn("w", 1.0 + F.col("pos") % 3)
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 
 def _classified(name):
     def f(spark, sf):
-        train, test = _two(spark, sf)
+        train, test = _split(spark, sf)
         train, test = X.scaled(train, test, "vec", 64)
         m = X.train_classifier(train, "vec", "label", name, None if name == "mlp" else "w")
         return X.predict(m, test, "vec", 1).select("obs_name", "label", "y_pred", F.round("score", 3).alias("score"))
