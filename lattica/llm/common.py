@@ -40,7 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df, written as a table of the shared folder and read from it: like cut(), but later steps read only the columns they need."""
+    df.write.parquet(path := fresh_path(df.sparkSession, what))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or name in ("doc_id", "text"):
+        name += "_"
+    return name
+
+
 def words_of(text):
     """Array of the words of a text column; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{GAP}|{GAP}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

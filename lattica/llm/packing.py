@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import cut, words_of
 
 #: Permitted sequence lengths, in tokens.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -76,13 +76,17 @@ def pack(lengths: np.ndarray, capacities=CAPACITIES, weights=COST) -> tuple[np.n
 
 
 def pieces(docs: DataFrame, length, most: int) -> DataFrame:
-    """(doc_id, row, piece, start, n): documents cut into pieces of at most `most` tokens; those without tokens have none.
+    """(doc_id, row, copy, piece, start, n): documents cut into pieces of at most `most` tokens; those without tokens have none.
 
-    row tells repeated doc_ids with other texts apart.
+    row tells repeated doc_ids with other texts apart, copy (from 1) the repeats of a row. Texts are read once: their lengths are
+    written to the shared folder, and rows that repeat are counted before they are told apart.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), length.cast("long").alias("len")).where("len > 0")
-    cuts = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(most).cast("long"))).alias("piece", "start")
-    return sized.select("doc_id", "row", "len", cuts).select("doc_id", "row", F.col("piece").cast("long").alias("piece"), "start", F.least(F.lit(most).cast("long"), F.col("len") - F.col("start")).alias("n"))
+    sized = cut(sized.groupBy("doc_id", "row", "len").agg(F.count("*").alias("copies")))
+    most = F.lit(most).cast("long")
+    cuts = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, most)).alias("piece", "start")
+    each = sized.select("doc_id", "row", "len", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return each.select("doc_id", "row", "copy", "len", cuts).select("doc_id", "row", "copy", F.col("piece").cast("long").alias("piece"), "start", F.least(most, F.col("len") - F.col("start")).alias("n"))
 
 
 def packed(docs: DataFrame, length=None, capacities=CAPACITIES, weights=COST, shard: int = SHARD) -> DataFrame:
@@ -90,7 +94,7 @@ def packed(docs: DataFrame, length=None, capacities=CAPACITIES, weights=COST, sh
     the shard), bin_offset, capacity.
 
     length: column with a document's number of tokens (its words and an end token unless given). Documents longer
-    than the largest capacity are cut into pieces. Pieces are dealt over shards by hash of document and
+    than the largest capacity are cut into pieces. Pieces are dealt over shards by hash of document, copy and
     piece, about `shard` to each, and packed there, so only numbers are shuffled and no bin crosses tasks; the result does not depend on
     the partitioning of the input. A null or blank text is its end token alone; a null length or one of 0 gives
     no piece; repeated rows are packed as often as they occur; an empty table gives none.
@@ -99,10 +103,10 @@ def packed(docs: DataFrame, length=None, capacities=CAPACITIES, weights=COST, sh
     rows = pieces(docs, size, max(capacities))
     total = rows.count()
     shards = max(1, -(-total // shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row", "copy", "piece"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "row", "piece"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "row", "copy", "piece"], kind="stable").reset_index(drop=True)
         pdf["bin"], pdf["bin_offset"], pdf["capacity"] = pack(pdf["n"].to_numpy(), capacities, weights)
         return pdf[["doc_id", "piece", "start", "n", "shard", "bin", "bin_offset", "capacity"]]
 
