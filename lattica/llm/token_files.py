@@ -6,6 +6,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,11 @@ SEQUENCE = 2048
 BATCH = 64
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Rows of documents that a file should hold.
+#: Rows and bytes of documents that a file should hold.
 FILE_ROWS = 20_000
-_CACHE = 200_000
+FILE_BYTES = 96 << 20
+#: Runs in a generation of the encoder's cache.
+_CACHE = 600_000
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -34,11 +37,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+_MARKS = ".,;:!?"
+
+
+def _pieces(run: str) -> int:
+    """The pieces into which the vocabulary's rules part a run of letters and a run of marks at their end; 0 where this is not known."""
+    word = run.rstrip(_MARKS)
+    # this letter in lower case ends in a mark
+    return (1 if len(word) == len(run) else 2) if word.isalpha() and "\u0130" not in word else 0
+
+
 class Encoder:
     """Whole texts to token ids (int32).
 
     No token of this vocabulary reaches over white space, which its rules drop, so a text is the sequence of its runs of
-    other characters; the ids of a run that was seen before come from a bounded cache. Tokenizers that keep
+    other characters; the ids of a run that was seen before come from a bounded cache of two generations, the older of which goes
+    when the younger is full. New runs are encoded together where it is known how many pieces each has. Tokenizers that keep
     white space must be given by_run=False.
     """
 
@@ -46,21 +60,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.by_run, self.known = Tokenizer.from_file(path), by_run, {}
+        self.tokenizer, self.by_run, self.known, self.older = Tokenizer.from_file(path), by_run, {}, {}
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known) > _CACHE:
+            self.older, self.known = self.known, {}
+        unseen = []
+        for r in new:
+            if (ids := self.older.get(r)) is None:
+                unseen.append(r)
+            else:
+                self.known[r] = ids
+        sized = [(r, _pieces(r)) for r in unseen]
+        plain, other = [x for x in sized if x[1]], [r for r, n in sized if not n]
+        for k in range(0, len(plain), 512):
+            if not self._together(part := plain[k : k + 512]):
+                other += [r for r, _ in part]
+        for k in range(0, len(other), 4096):
+            part = other[k : k + 4096]
+            for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[r] = array("i", e.ids).tobytes()
+
+    def _together(self, part: list[tuple[str, int]]) -> bool:
+        """Encodes runs of known numbers of pieces as one text; False if it has not the pieces expected."""
+        found = self.tokenizer.encode(" ".join(r for r, _ in part), add_special_tokens=False)
+        words = np.array(found.word_ids, dtype=np.int64)
+        ends = np.cumsum([n for _, n in part])
+        if not len(words) or words[-1] + 1 != ends[-1]:
+            return False
+        ids, cuts = np.array(found.ids, dtype=np.int32).tobytes(), (np.searchsorted(words, ends) * 4).tolist()
+        for (r, _), low, high in zip(part, [0, *cuts], cuts):
+            self.known[r] = ids[low:high]
+        return True
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_run:
             return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         # str.split() also parts at four control characters that are no white space to the tokenizer
         runs = [t.split() if not _CONTROL.search(t) else [r for r in _SPACE.split(t) if r] for t in texts]
-        new = list({r for have in runs for r in have}.difference(self.known))
-        if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = list({r for have in runs for r in have})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[r] = np.array(e.ids, dtype=np.int32).tobytes()
+        every = set().union(*runs)
+        if len(self.known) > _CACHE:
+            self._learn(every)
+        elif new := every.difference(self.known):
+            self._learn(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, have)), dtype=np.int32) for have in runs]
 
 
@@ -132,21 +174,23 @@ def _filesystem(path: str):
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
-def written(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, length: int = SEQUENCE, end_id: int = END_ID) -> tuple[DataFrame, str]:
+def written(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, length: int = SEQUENCE, end_id: int = END_ID, by_run: bool = True) -> tuple[DataFrame, str]:
     """Writes token files for docs (doc_id, text) under path; gives their index and the path.
 
     The documents are ordered by doc_id (nulls first; repeats of a doc_id by text) and dealt by ranges of it, a file to each range:
     part-<number>.arrow. A task writes under a name of its own attempt and then renames, so a lost or repeated task leaves
     one whole file. Index: doc_id, part, at (place in the file), n_tokens, start (tokens of all documents before).
-    A null text is empty and consists of the end id alone. An empty table has an empty index and no files.
+    A null text is empty and consists of the end id alone. An empty table has an empty index and no files. by_run=False is for
+    vocabularies that keep white space (see Encoder).
     """
     spark = docs.sparkSession
     path, vocabulary = path or fresh_path(spark, "tokens"), vocabulary or default_vocabulary()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = source.select("doc_id").count()
+    rows, size = source.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    files = max(1, -(-rows // FILE_ROWS), -(-(size or 0) // FILE_BYTES))
     # ranges of doc_id and a hash: a doc_id with very many rows is dealt over several files too
     keyed = source.withColumn("tie", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange(max(1, -(-n // FILE_ROWS)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = keyed.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     fields = "doc_id long, part int, seq long, at long, n_tokens long"
 
     def run(batches):
@@ -154,7 +198,7 @@ def written(docs: DataFrame, path: str | None = None, vocabulary: str | None = N
 
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, base = _filesystem(path)
-        encode, rows, at = Encoder(vocabulary), [], 0
+        encode, rows, at = Encoder(vocabulary, by_run), [], 0
         size = encode.tokenizer.get_vocab_size()
 
         def chunks():
