@@ -32,7 +32,7 @@ def _letters(text):
 def _repeat_words(df: DataFrame, size: int) -> DataFrame:
     """df (with words `w`) and n_repeat_words: words in windows of `size` that occur twice or more."""
     last = F.size("w") - size
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(size))))
+    windows = F.transform(F.arrays_zip(*(F.slice("w", k + 1, last + 1) for k in range(size))), lambda x: F.xxhash64(x))
     df = df.withColumn("win", F.when(last > 0, windows))
     has = F.size(F.array_distinct("win")) < F.size("win")
     df = df.withColumn("byhash", F.when(has, F.sort_array(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -51,8 +51,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
     n_words = F.size("w").cast("long")
     return (
         df.withColumn("n_words", n_words)
-        .withColumn("word_chars", F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("w", "")).cast("long"))
+        .withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
         .drop("w", "lines")
@@ -101,11 +101,17 @@ def judged(docs: DataFrame) -> DataFrame:
     ref = F.broadcast(ref) if ref.count() <= BROADCAST_LANGS else ref
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.join(ref.withColumnRenamed("lang", "__lang"), F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
-    rows = rows.withColumn("letters", F.filter(_letters(text), lambda x: x != ""))
-    rows = rows.withColumn("n_letter_words", F.size("letters").cast("long")).withColumn("hits", F.filter("letters", lambda x: F.array_contains("common", x))).drop("letters")
-    rows = rows.withColumn("found", F.transform("common", lambda c: F.size("hits") - F.size(F.array_remove("hits", c)))).withColumn("n_hits", F.size("hits")).drop("hits", "common")
-    sizes = [(F.length(text) - F.length(F.regexp_replace(text, f"[{c}]+", ""))).cast("long") for c in CLASSES.values()]
-    rows = rows.withColumn("classes", F.array(*sizes)).withColumn("n_chars", F.length(text).cast("long"))
+    rows = rows.withColumn("letters", F.array_remove(_letters(text), "")).withColumn("listed", F.concat(F.lit(" "), F.array_join("common", " "), F.lit(" ")))
+    place = lambda word: F.position(F.concat(F.lit(" "), word, F.lit(" ")), F.col("listed"))
+    # a common word is known by its place in the list of them, and numbers are counted faster than words
+    rows = rows.withColumn("n_letter_words", F.size("letters").cast("long")).withColumn("hits", F.filter(F.transform("letters", place), lambda p: p > 0)).drop("letters")
+    rows = rows.withColumn("found", F.transform("common", lambda c: F.size("hits") - F.size(F.array_remove("hits", place(c))))).drop("hits", "listed", "common")
+    rows = rows.withColumn("n_chars", F.length(text).cast("long")).withColumn("left0", text)
+    # no two classes have a character in common, so each is looked for in what the others left
+    for k, c in enumerate(CLASSES.values()):
+        rows = rows.withColumn(f"left{k + 1}", F.regexp_replace(f"left{k}", f"[{c}]+", ""))
+    sizes = [(F.length(f"left{k}") - F.length(f"left{k + 1}")).cast("long") for k in range(len(CLASSES))]
+    rows = rows.withColumn("classes", F.array(*sizes)).drop(*(f"left{k}" for k in range(len(CLASSES) + 1)))
     rows = cut(base_rules(rows).drop("text"))
     k = len(CLASSES)
     sums = rows.groupBy("lang").agg(F.array(*(F.sum(F.col("classes")[i]) for i in range(k))).alias("all"), F.sum("n_chars").alias("all_chars"))
