@@ -108,15 +108,22 @@ def with_p_values(ranked: DataFrame, places: int = 9) -> DataFrame:
     return raw.withColumn("p_adjusted", F.round(F.least(F.min("_a").over(down), F.lit(1.0)), places)).drop("_k", "_a")
 
 
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series, small ones moved up by the recurrence."""
+    x = np.asarray(x, dtype=float)
+    small = x < 10
+    z = np.where(small, x + 10, x)
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    low = np.where(small, x, 1.0)
+    return series - np.where(small, np.log(np.prod([low + k for k in range(10)], axis=0)), 0.0)
 
 
 def nb_loglik(y: np.ndarray, mean: float, theta: float) -> float:
-    return float((_LGAMMA(y + theta) - math.lgamma(theta) - _LGAMMA(y + 1) + theta * math.log(theta / (theta + mean)) + y * math.log(max(mean, 1e-12) / (theta + mean))).sum())
+    return float((_lgamma(y + theta) - math.lgamma(theta) - _lgamma(y + 1) + theta * math.log(theta / (theta + mean)) + y * math.log(max(mean, 1e-12) / (theta + mean))).sum())
 
 
 def poisson_loglik(y: np.ndarray, rate: float) -> float:
-    return float((y * math.log(max(rate, 1e-12)) - rate - _LGAMMA(y + 1)).sum())
+    return float((y * math.log(max(rate, 1e-12)) - rate - _lgamma(y + 1)).sum())
 
 
 def _inflated(loglik_positive: float, n_zero: int, n: int, p0: float, zero: float) -> float:

@@ -60,6 +60,45 @@ def knn_join(left: DataFrame, right: DataFrame, by: str, key: str, vector: str,
     return left.select(by, key, vector).groupBy(by).cogroup(other.groupBy("_by")).applyInPandas(run, fields)
 
 
+def nearest_selection(real: DataFrame, pool: DataFrame, wanted: DataFrame, by: str, key: str, vector: str, order: str) -> DataFrame:
+    """(by, key) of the pool rows chosen for each group: of all rows that are among the n nearest of any real row of the group, the first n
+    in `order`.
+
+    wanted: by, n. A group has as many candidates as n at least, unless its pool is smaller, so nothing is left to fill up. Groups
+    without real or without pool rows give none. Distances are compared as in knn_join, in blocks; only chosen rows leave a task.
+    """
+    kinds = dict(pool.dtypes)
+
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(l) or not len(r):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (by, key)})
+        r = r.sort_values("_key", kind="stable").reset_index(drop=True)
+        n, b = min(int(r["_n"].iloc[0]), len(r)), np.stack(r["_vector"].map(np.asarray)).astype(float)
+        near, step = np.zeros(len(r), dtype=bool), max(1, _BLOCK // len(r))
+        for at in range(0, len(l), step):
+            d = np.round(_distances(np.stack(l[vector].iloc[at : at + step].map(np.asarray)).astype(float), b, "euclidean"), 9) + 0.0
+            near[np.argsort(d, axis=1, kind="stable")[:, :n]] = True
+        chosen = r[near].sort_values(["_order", "_key"], kind="stable").head(n)
+        return pd.DataFrame({by: chosen["_by"].tolist(), key: chosen["_key"].tolist()})
+
+    side = pool.join(wanted.select(F.col(by), F.col("n").alias("_n")), by).select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.col(vector).alias("_vector"), F.col(order).alias("_order"), "_n")
+    return real.select(by, vector).groupBy(by).cogroup(side.groupBy("_by")).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}")
+
+
+def wanted_by_ratio(real: DataFrame, by: str, ratio: float) -> DataFrame:
+    """(by, n): the share `ratio` of each group's real rows, rounded half to even, 1 at least."""
+    return real.groupBy(by).agg(F.greatest(F.bround(F.count("*") * F.lit(float(ratio)), 0), F.lit(1.0)).cast("long").alias("n"))
+
+
+def wanted_by_density(real: DataFrame, by: str, max_ratio: int) -> DataFrame:
+    """(by, n): the group's real rows times a ratio from 1 (the densest group) to max_ratio (the sparsest), by rank; ties in group order."""
+    counts = real.groupBy(by).agg(F.count("*").alias("c"))
+    # one row for each group: the only window over all of them
+    ranked = counts.select(by, "c", (F.row_number().over(W.orderBy(F.desc("c"), by)) - 1).alias("rank"), F.count("*").over(W.partitionBy()).alias("groups"))
+    level = F.when(F.col("groups") == 1, F.lit(float(max_ratio - 1))).otherwise(F.bround(F.col("rank") * F.lit(float(max_ratio - 1)) / F.greatest(F.col("groups") - 1, F.lit(1)), 0))
+    return ranked.select(by, (F.col("c") * (1 + level)).cast("long").alias("n"))
+
+
 def mapped_coordinates(neighbours: DataFrame, reference: DataFrame, by: str, key: str, how: str = "mean") -> DataFrame:
     """Coordinates of each row as the mean, inverse-distance mean or median of its neighbours'."""
     r = reference.select(by, F.col(key).alias("neighbour"), "x", "y")

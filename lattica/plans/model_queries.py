@@ -116,19 +116,22 @@ def e37(spark, sf):
     return m.select("gene", "region", F.round((F.col("m") - F.min("m").over(w)) / (F.max("m").over(w) - F.min("m").over(w)), 6).alias("v"))
 
 
-_QUANT = ", ".join(f"quantile_cont(vec[{i + 1}], {q})" for q in (0.1, 0.5, 0.9) for i in range(3))
-_MEANS = ", ".join(f"sum(w * vec[{i + 1}]) / sum(w)" for i in range(3))
-_STDS = ", ".join(f"sqrt(greatest(sum(w * vec[{i + 1}] * vec[{i + 1}]) / sum(w) - pow(sum(w * vec[{i + 1}]) / sum(w), 2), 0))" for i in range(3))
+_QUANT = ", ".join(f"quantile_cont(vec[{i + 1}], {q})" for q in (0.1, 0.5, 0.9) for i in range(64))
+_MEANS = ", ".join(f"sum(w * vec[{i + 1}]) / sum(w)" for i in range(64))
+_STDS = ", ".join(f"sqrt(greatest(sum(w * vec[{i + 1}] * vec[{i + 1}]) / sum(w) - pow(sum(w * vec[{i + 1}]) / sum(w), 2), 0))" for i in range(64))
 
 
-@query("E21", f"SELECT slice_id, list_transform([{_MEANS}, {_STDS}, {_QUANT}, avg(x), avg(y), stddev_pop(x), stddev_pop(y), max(x) - min(x), max(y) - min(y)], lambda v: round(v, 6)) AS features FROM (SELECT *, 1 + pos % 3 AS w FROM spots) GROUP BY slice_id")
+_E21 = f"SELECT slice_id, list_transform([{_MEANS}, {_STDS}, {_QUANT}, avg(x), avg(y), stddev_pop(x), stddev_pop(y), max(x) - min(x), max(y) - min(y)], lambda v: round(v, 6)) AS features FROM (SELECT *, 1 + pos % 3 AS w FROM spots) GROUP BY slice_id"
+
+
+@query("E21", _E21)
 def e21(spark, sf):
-    return X.sample_vector(spots(spark, sf), ["slice_id"], "vec", 3, 1 + F.col("pos") % 3)
+    return X.sample_vector(spots(spark, sf), ["slice_id"], "vec", 64, 1 + F.col("pos") % 3)
 
 
-@query("J15", "SELECT spot, gene_idx, round(ln(1 + value * 1e4 / t), 6) AS v FROM (SELECT *, sum(value) OVER (PARTITION BY spot) AS t FROM expr WHERE spot % 2 = 0)")
+@query("J15", "SELECT spot, gene_idx, round(ln(1 + value * 1e4 / t), 6) AS v FROM (SELECT *, sum(value) OVER (PARTITION BY spot) AS t FROM expr)")
 def j15(spark, sf):
-    e = expr(spark, sf).where("spot % 2 = 0")
+    e = expr(spark, sf)
     v = S.log_normalised(F.col("value"), F.sum("value").over(W.partitionBy("spot")))
     return e.select("spot", "gene_idx", F.round(S.scrubbed(v), 6).alias("v"))
 
@@ -220,9 +223,10 @@ def n8(spark, sf):
     return _classified("lr")(spark, sf).select("obs_name", "score")
 
 
-@query("N9", "SELECT slice_id, 21::INT AS width FROM spots GROUP BY slice_id")
+#: The training matrix of the fold that holds out slice s0: the vectors of the other samples.
+@query("N9", f"SELECT slice_id, features FROM ({_E21}) WHERE slice_id <> 's0'")
 def n9(spark, sf):
-    return e21(spark, sf).select("slice_id", F.size("features").alias("width"))
+    return X.sample_vector(spots(spark, sf).where("slice_id != 's0'"), ["slice_id"], "vec", 64, 1 + F.col("pos") % 3)
 
 
 @query("N10")
@@ -257,9 +261,9 @@ def o11(spark, sf):
     return pool.groupBy("label").agg(F.countDistinct("synthetic_id").alias("n"))
 
 
-@query("O10", "SELECT obs_name, list_transform(vec[1:4], lambda v: round(sqrt(0.36) * v + sqrt(0.64) * 0.5, 6)) AS vec FROM spots")
+@query("O10", "SELECT obs_name, list_transform(vec, lambda v: round(sqrt(0.36) * v + sqrt(0.64) * 0.5, 6)) AS vec FROM spots")
 def o10(spark, sf):
-    s = spots(spark, sf).select("obs_name", F.slice("vec", 1, 4).alias("vec")).withColumn("noise", F.array_repeat(F.lit(0.5), 4))
+    s = spots(spark, sf).select("obs_name", "vec").withColumn("noise", F.array_repeat(F.lit(0.5), F.size("vec")))
     return O.noised(s, "vec", "noise", 0.36).select("obs_name", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
 
 

@@ -10,9 +10,9 @@ from ..operators import paradigm
 from .registry import expr, predictions, query, spots, table
 
 
-@query("J1", "SELECT doc_id, coalesce(nullif(trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'value') AS token FROM documents")
+@query("J1", "SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'value') AS token FROM documents")
 def j1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.safe_token(F.substring("text", 1, 40)).alias("token"))
+    return table(spark, sf, "documents").select("doc_id", S.safe_token("text").alias("token"))
 
 
 _G = "regexp_replace(regexp_replace(printf('%.6f', {0}::DOUBLE), '0+$', ''), '\\.$', '')"

@@ -30,22 +30,31 @@ def d8(spark, sf):
     return N.mapped_coordinates(nn, real(spark, sf), "slice_id", "obs_name").select("obs_name", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("D9", f", {_nn('real', 'pool', 5)} SELECT p.obs_name FROM pool p SEMI JOIN (SELECT DISTINCT neighbour AS obs_name FROM nn) USING (obs_name) ORDER BY pos LIMIT 40")
+@query("D9", f""", want AS (SELECT slice_id, greatest(round_even(count(*) * 0.3, 0), 1) AS n FROM real GROUP BY slice_id),
+near AS (SELECT slice_id, neighbour, r FROM (SELECT a.slice_id, b.obs_name AS neighbour, row_number() OVER (PARTITION BY a.obs_name ORDER BY {_D}, b.obs_name) AS r FROM real a JOIN pool b USING (slice_id)))
+SELECT obs_name FROM (SELECT p.obs_name, n, row_number() OVER (PARTITION BY p.slice_id ORDER BY pos) AS k FROM pool p JOIN want USING (slice_id) SEMI JOIN (SELECT DISTINCT neighbour FROM near JOIN want USING (slice_id) WHERE r <= n) c ON c.neighbour = p.obs_name) WHERE k <= n""")
 def d9(spark, sf):
-    nn = N.knn_join(_xy(real(spark, sf)), _xy(pool(spark, sf)), "slice_id", "obs_name", "vec", 5, "euclidean")
-    near = nn.select(F.col("neighbour").alias("obs_name")).distinct()
-    return pool(spark, sf).join(near, "obs_name", "left_semi").orderBy("pos").limit(40).select("obs_name")
+    r = _xy(real(spark, sf))
+    return N.nearest_selection(r, _xy(pool(spark, sf)), N.wanted_by_ratio(r, "slice_id", 0.3), "slice_id", "obs_name", "vec", "pos").select("obs_name")
 
 
 _CELL = "least(greatest(floor(({c} - min({c}) OVER w) / greatest(max({c}) OVER w - min({c}) OVER w, 1e-9) * 3), 0), 2)::INT"
 _GRID = f"grid AS (SELECT *, {_CELL.format(c='x')} || '_' || {_CELL.format(c='y')} AS cell FROM spots WINDOW w AS (PARTITION BY slice_id))"
 
 
-@query("D10", f", {_GRID} SELECT obs_name FROM (SELECT p.obs_name, {_D} AS d, row_number() OVER (PARTITION BY a.obs_name ORDER BY {_D}, p.obs_name) AS r FROM grid a JOIN (SELECT *, x AS bx, y AS by_ FROM grid) p ON a.slice_id = p.slice_id AND a.cell = p.cell AND a.source = 'real' AND p.source = 'synthetic', LATERAL (SELECT p.x AS x, p.y AS y) b) WHERE r <= 2 GROUP BY obs_name")
+_REAL_CELL = _CELL.replace(") OVER w", ") FILTER (source = 'real') OVER w")
+
+
+@query("D10", f""", cells AS (SELECT *, slice_id || '|' || {_REAL_CELL.format(c='x')} || '|' || {_REAL_CELL.format(c='y')} AS cell FROM spots WINDOW w AS (PARTITION BY slice_id)),
+counts AS (SELECT cell, count(*) AS c FROM cells WHERE source = 'real' GROUP BY cell),
+ranked AS (SELECT cell, c, row_number() OVER (ORDER BY c DESC, cell) - 1 AS rank, count(*) OVER () AS groups FROM counts),
+want AS (SELECT cell, c * (1 + CASE WHEN groups = 1 THEN 2 ELSE round_even(rank * 2.0::DOUBLE / (groups - 1), 0) END) AS n FROM ranked),
+near AS (SELECT a.cell, b.obs_name AS neighbour, row_number() OVER (PARTITION BY a.obs_name ORDER BY {_D}, b.obs_name) AS r FROM cells a JOIN cells b ON a.cell = b.cell AND a.source = 'real' AND b.source = 'synthetic')
+SELECT obs_name FROM (SELECT p.obs_name, n, row_number() OVER (PARTITION BY p.cell ORDER BY pos) AS k FROM cells p JOIN want USING (cell) SEMI JOIN (SELECT DISTINCT neighbour FROM near JOIN want USING (cell) WHERE r <= n) c ON c.neighbour = p.obs_name) WHERE k <= n""")
 def d10(spark, sf):
-    g = _xy(P.grid_regions(spots(spark, sf), "slice_id", 3))
-    nn = N.knn_join(g.where("source = 'real'"), g.where("source = 'synthetic'"), "region", "obs_name", "vec", 2, "euclidean")
-    return nn.select(F.col("neighbour").alias("obs_name")).distinct()
+    g = _xy(P.grid_regions(spots(spark, sf), "slice_id", 3, F.col("source") == "real"))
+    r = g.where("source = 'real'")
+    return N.nearest_selection(r, g.where("source = 'synthetic'"), N.wanted_by_density(r, "region", 3), "region", "obs_name", "vec", "pos").select("obs_name")
 
 
 @query("D11", f", {_nn('pool', 'real', 5)} SELECT nn.obs_name, round(quantile_cont(b.x, 0.5), 6) AS x, round(quantile_cont(b.y, 0.5), 6) AS y FROM nn JOIN real b ON b.obs_name = nn.neighbour GROUP BY nn.obs_name")
@@ -126,10 +135,10 @@ def e19(spark, sf):
     return N.gearys_c(spots(spark, sf).select("slice_id", "obs_name", "x"), d16(spark, sf), ["slice_id"], "obs_name", "x")
 
 
-@query("E17", f""", {_GRAPH}, v AS (SELECT slice_id, obs_name, k AS gene, vec[k] AS v FROM spots, (SELECT unnest(range(1, 9)) AS k)), z AS (SELECT slice_id, obs_name, gene, v - avg(v) OVER (PARTITION BY slice_id, gene) AS z FROM v), ss AS (SELECT slice_id, gene, count(*) AS n, sum(z * z) AS ss FROM z GROUP BY ALL),
+@query("E17", f""", {_GRAPH}, v AS (SELECT slice_id, obs_name, k AS gene, vec[k] AS v FROM spots, (SELECT unnest(range(1, 65)) AS k)), z AS (SELECT slice_id, obs_name, gene, v - avg(v) OVER (PARTITION BY slice_id, gene) AS z FROM v), ss AS (SELECT slice_id, gene, count(*) AS n, sum(z * z) AS ss FROM z GROUP BY ALL),
 m AS (SELECT g.slice_id, a.gene, round(any_value(n) * sum(w * a.z * b.z) / (sum(w) * any_value(ss)), 6) AS m FROM g JOIN z a ON a.obs_name = src JOIN z b ON b.obs_name = dst AND a.gene = b.gene JOIN ss ON ss.slice_id = g.slice_id AND ss.gene = a.gene GROUP BY ALL) SELECT slice_id, round(avg(m), 5) AS moran FROM m GROUP BY slice_id""")
 def e17(spark, sf):
-    v = spots(spark, sf).select("slice_id", "obs_name", F.posexplode(F.slice("vec", 1, 8)).alias("gene", "v"))
+    v = spots(spark, sf).select("slice_id", "obs_name", F.posexplode("vec").alias("gene", "v"))
     per = N.morans_i(v, d16(spark, sf), ["slice_id", "gene"], "obs_name", "v")
     return per.groupBy("slice_id").agg(F.round(F.avg("moran"), 5).alias("moran"))
 
