@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where it names none (tests)."""
+    """The shared folder that the session names; one of our own only where it names none and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "/tmp/lattica-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

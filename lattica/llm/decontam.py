@@ -8,6 +8,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WINDOW = 10
 #: Bytes of benchmark text in one block of patterns; the blocks of a larger benchmark are searched in turn.
@@ -88,7 +89,7 @@ class Matcher:
                 for start, found in s.search(ids):
                     spans.append((start, start + s.length))
                     items.update(found)
-        return len(got), union(spans), sorted(items)
+        return len(got), union(spans), sorted(i for i in items if i is not None)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,7 +104,7 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -118,7 +119,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-_FOUND = "__n_words long, __spans array<struct<at:long,n:long>>, __items array<long>"
+_FOUND = "n_words long, spans array<struct<at:long,n:long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
 
 
@@ -131,36 +132,42 @@ def _scan(source: DataFrame, items: list[tuple[int, str]], window: int) -> DataF
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 found = [matcher.search(t) for t in part.columns[-1].to_pylist()]
-                out = [pa.array([x[0] for x in found], pa.int64()), pa.array([[{"at": a, "n": n} for a, n in x[1]] for x in found], _SPANS), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], [*part.schema.names[:-1], "__n_words", "__spans", "__items"])
+                out = [pa.array([x[0] for x in found], pa.int64()), pa.array([[{"at": a, "n": n} for a, n in x[1]] for x in found], _SPANS), pa.array([x[2] for x in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], [*part.schema.names[:-1], "n_words", "spans", "items"])
 
-    fields = ", ".join([*(f"`{c}` {t}" for c, t in source.dtypes[:-1]), _FOUND])
+    fields = StructType([*source.schema.fields[:-1], *StructType.fromDDL(_FOUND).fields])
     return source.mapInArrow(run, fields)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: the columns `keep`, __n_words, __spans (at, n) of hit words, __items (item_ids found).
-
-    A benchmark is sent to the executors in blocks of patterns of a checked size. With one block, the
-    usual case, nothing is shuffled. With more, their results meet by hash of the text.
-    """
-    text = F.col("text").cast("string").alias("__text")
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """Per row of docs: row (its columns, as one), n_words, spans (at, n) of hit words, items (item_ids found, as strings)."""
+    row, text = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text")
     if benchmark_blocks(benchmark, block_bytes) <= 1:
-        return _scan(docs.select(*keep, text), next(blocks(benchmark, block_bytes), []), window)
-    key = F.xxhash64(F.col("text").cast("string")).alias("__key")
+        return _scan(docs.select(row, text), next(blocks(benchmark, block_bytes), []), window)
+    key = F.xxhash64(F.col("text").cast("string")).alias("key")
     hits = None
     for items in blocks(benchmark, block_bytes):
-        part = _scan(docs.select(key, text), items, window).where("size(__items) > 0").select("__key", "__spans", "__items")
+        part = _scan(docs.select(key, text), items, window).where("size(spans) > 0").select("key", "spans", "items")
         hits = part if hits is None else hits.unionByName(part)
 
     def merge(found):
         return [(a, n) for a, n in union([(x["at"], x["at"] + x["n"]) for x in found])]
 
     # equal texts have equal results, so a set of them stays small for a text with many copies
-    merged = hits.groupBy("__key").agg(F.flatten(F.collect_set("__spans")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("__items"))
-    merged = merged.select("__key", F.udf(merge, "array<struct<at:long,n:long>>")("found").alias("__spans"), "__items")
-    counted = _scan(docs.select(*keep, key, text), [], window).drop("__spans", "__items")
-    return counted.join(merged, "__key", "left").select(*keep, "__n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("__spans", "array<struct<at:long,n:long>>"), ("__items", "array<long>"))))
+    merged = hits.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    merged = merged.select("key", F.udf(merge, "array<struct<at:long,n:long>>")("found").alias("spans"), "items")
+    counted = _scan(docs.select(row, key, text), [], window).drop("spans", "items")
+    return counted.join(merged, "key", "left").select("row", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("spans", "array<struct<at:long,n:long>>"), ("items", "array<string>"))))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs: the columns `keep`, __n_words, __spans (at, n) of hit words, __items (item_ids found, as strings).
+
+    A benchmark is sent to the executors in blocks of patterns of a checked size. With one block, the
+    usual case, nothing is shuffled. With more, their results meet by hash of the text.
+    """
+    found = _found(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"]))), benchmark, window, block_bytes)
+    return found.select(*(F.col(f"row.`{c}`") for c in keep), *(F.col(c).alias(f"__{c}") for c in ("n_words", "spans", "items")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -168,25 +175,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     found, sorted as strings and joined by commas), contaminated (n_hit > 0), spans.
 
     A window is `window` consecutive words of an item; a shorter item that has words is one window. Null and
-    blank texts have no words and are clean; items with a null id or no words are passed over;
-    repeated items and rows count as such; an empty benchmark leaves all documents clean; an empty table gives none.
+    blank texts have no words and are clean; an item's id may be of any type, and words in windows of items with a null id are hit
+    but there is no id to list or count; items without words are passed over; repeated items and rows count as such; an empty
+    benchmark leaves all documents clean; an empty table gives none.
     """
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    names = F.array_sort(F.transform("__items", lambda x: x.cast("string")))
-    return search(docs, benchmark, ["doc_id"], window).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("__n_words").alias("n_words"),
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    return _found(docs.select("doc_id", "text"), benchmark, window, BLOCK_BYTES).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        "n_words",
         n_hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("__spans") > 0).alias("contaminated"),
-        F.col("__spans").alias("spans"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+        "spans",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Those rows of docs, with all their columns, that hold no window of any item."""
-    return search(docs, benchmark, docs.columns, window).where("size(__spans) = 0").select(*(f"`{c}`" for c in docs.columns))
+    """Those rows of docs, with all their columns whatever their names, that hold no window of any item. Null and blank texts have
+    none and stay; repeated rows stay as often as they occur; an empty table gives none."""
+    return _found(docs, benchmark, window, BLOCK_BYTES).where("size(spans) = 0").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def digest(ids: list[int]) -> str:

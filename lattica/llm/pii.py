@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 8
 KEY = "lattica-demo-key"  # give your own; equal values have equal pseudonyms under one key
 
@@ -241,13 +243,14 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     kinds = list(PATTERNS)
     names = [f"n_{k}" for k in kinds]
     rest = [c for c in docs.columns if c not in names]
-    df = docs.select(*(f"`{c}`" for c in rest), F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).alias("__found"))
-    df = df.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: _pseudonym(key, m))))
-    values = F.concat(F.zip_with("__found", "__new", lambda m, s: F.coalesce(s["value"], m)), F.array(F.lit("")))
-    new = F.when(F.col("__new").isNotNull(), F.array_join(F.zip_with(F.split("text", _ANY, -1), values, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
+    found, made = free_name(docs, "found"), free_name(docs, "made")
+    df = docs.select(*(f"`{c}`" for c in rest), F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).alias(found))
+    df = df.withColumn(made, F.when(F.size(found) > 0, F.transform(found, lambda m: _pseudonym(key, m))))
+    values = F.concat(F.zip_with(found, made, lambda m, s: F.coalesce(s["value"], m)), F.array(F.lit("")))
+    new = F.when(F.col(made).isNotNull(), F.array_join(F.zip_with(F.split("text", _ANY, -1), values, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
 
     def replaced(kind):
-        return F.filter("__new", lambda s: (s["kind"] == kind) & s["value"].isNotNull())
+        return F.filter(made, lambda s: (s["kind"] == kind) & s["value"].isNotNull())
 
     counts = [F.coalesce(F.size(replaced(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds]
     return df.select(*(new.alias("text") if c == "text" else f"`{c}`" for c in rest), *counts)

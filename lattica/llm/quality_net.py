@@ -27,7 +27,7 @@ _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def _shape(word: str) -> str:
     """The word with runs of capitals, small letters and digits each as one character; other runs as their first character."""
     s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa", word)
-    return re.sub(r"([^A])\1+", r"\1", re.sub(r"\d+", "9", s))[:12]
+    return re.sub(r"([^A])\1+", r"\1", re.sub(r"\d+", "9", s))
 
 
 class Encoder:
