@@ -9,35 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import decontam, line_dedup, packing, quality_net, simhash
-from lattica.llm.common import cut, fresh_path, table
+from lattica.llm.common import cut, free_name, fresh_path, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are scored like others; repeated rows share their fate."""
     model = quality_net.fit(docs, table(spark, sf_dir, "labels"))
     return quality_net.scored(docs, model, keep=docs.columns).where("__predicted = 1").drop("__predicted")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of similar lines one stays; documents of which no word is left go. n_chars follows the text."""
-    lines = line_dedup.deduplicated(docs, count_as="__dropped")
-    gone = (F.col("__dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    n_chars = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    dropped = free_name(docs, "dropped")
+    lines = line_dedup.deduplicated(docs, count_as=dropped)
+    gone = (F.col(dropped) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_chars = F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return lines.where(~F.coalesce(gone, F.lit(False))).select(*(n_chars if c == "n_chars" else f"`{c}`" for c in docs.columns))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays; of repeats of its row, one."""
-    stay = simhash.near_duplicates(docs).where("first").groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n"))
-    stay = cut(stay)
-    kept = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(stay.select("__row"), "__row", "left_semi")
+    row = free_name(docs, "row")
+    stay = cut(simhash.near_duplicates(docs).where("first").groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n")))
+    kept = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(stay.select(row), row, "left_semi")
     if stay.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__row"])
+        kept = kept.dropDuplicates([row])
     return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go. Null and blank texts hold none and stay; repeated rows share their fate."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
