@@ -54,7 +54,9 @@ def rescue_zeros(counts: np.ndarray, wanted: np.ndarray, rng: np.random.Generato
 
 
 def gamma_hypergeometric(x: np.ndarray, n: int, rng: np.random.Generator, depth: int = 10) -> np.ndarray:
-    """Gamma composition per gene, counts drawn without replacement from a pool `depth` times the library, then dropout beyond what the law explains."""
+    """Gamma composition per gene, counts drawn without replacement from a pool `depth` times the library, then dropout beyond what the law explains.
+
+    Where the composition drawn is all zero, the mean one is used."""
     lib = Libraries(x.sum(axis=1))
     scaled = x / np.maximum(x.sum(axis=1, keepdims=True), 1) * max(np.median(x.sum(axis=1)), 1)
     mean, var = scaled.mean(axis=0), np.maximum(scaled.var(axis=0, ddof=1) if len(x) > 1 else 0 * scaled[0], 1e-8)
@@ -63,6 +65,8 @@ def gamma_hypergeometric(x: np.ndarray, n: int, rng: np.random.Generator, depth:
     out = np.zeros((n, x.shape[1]), dtype=np.int64)
     for i, size in enumerate(lib.draw(n, rng)):
         profile = np.where(mean > 0, rng.gamma(shape, scale), 0)
+        if profile.sum() <= 0:
+            profile = mean
         if profile.sum() <= 0:
             continue
         pool = rng.multinomial(int(size) * depth, profile / profile.sum())
