@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -61,6 +62,9 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.by_run, self.known, self.older = Tokenizer.from_file(path), by_run, {}, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: of each id whether it ends a piece, in vocabularies that mark the ends
+        self.last = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
 
     def _learn(self, new: set[str]) -> None:
         if len(self.known) > _CACHE:
@@ -83,12 +87,11 @@ class Encoder:
 
     def _together(self, part: list[tuple[str, int]]) -> bool:
         """Encodes runs of known numbers of pieces as one text; False if it has not the pieces expected."""
-        found = self.tokenizer.encode(" ".join(r for r, _ in part), add_special_tokens=False)
-        words = np.array(found.word_ids, dtype=np.int64)
-        ends = np.cumsum([n for _, n in part])
-        if not len(words) or words[-1] + 1 != ends[-1]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([r for r, _ in part])], add_special_tokens=False)[0].ids, dtype=np.int32)
+        ends, last = np.cumsum([n for _, n in part]), np.flatnonzero(self.last[ids]) + 1
+        if len(last) != ends[-1] or last[-1] != len(ids):
             return False
-        ids, cuts = np.array(found.ids, dtype=np.int32).tobytes(), (np.searchsorted(words, ends) * 4).tolist()
+        ids, cuts = ids.tobytes(), (last[ends - 1] * 4).tolist()
         for (r, _), low, high in zip(part, [0, *cuts], cuts):
             self.known[r] = ids[low:high]
         return True
@@ -96,14 +99,21 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_run:
             return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        # str.split() also parts at four control characters that are no white space to the tokenizer
-        runs = [t.split() if not _CONTROL.search(t) else [r for r in _SPACE.split(t) if r] for t in texts]
-        every = set().union(*runs)
-        if len(self.known) > _CACHE:
-            self._learn(every)
-        elif new := every.difference(self.known):
-            self._learn(new)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, have)), dtype=np.int32) for have in runs]
+        # nothing here has cycles, and the collector would go through all lists and tuples again and again
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            # str.split() also parts at four control characters that are no white space to the tokenizer
+            runs = [t.split() if not _CONTROL.search(t) else [r for r in _SPACE.split(t) if r] for t in texts]
+            every = set().union(*runs)
+            if len(self.known) > _CACHE:
+                self._learn(every)
+            elif new := every.difference(self.known):
+                self._learn(new)
+            return [np.frombuffer(b"".join(map(self.known.__getitem__, have)), dtype=np.int32) for have in runs]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 def _schema(length: int, ids: pa.DataType) -> pa.Schema:
