@@ -91,6 +91,21 @@ def one_value(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def some_rows(df: DataFrame | None, what: str) -> DataFrame:
+    """df; error if there is none or it has no row."""
+    if df is None or df.isEmpty():
+        raise ValueError(f"{what} needs synthetic rows of the same slice")
+    return df
+
+
+def fixed_run(given: dict[str, list], fixed: dict[str, list]) -> dict[str, list]:
+    """The given settings of a run; error if one of the fixed ones is absent or has other values (compared as text)."""
+    other = [k for k, v in fixed.items() if [str(x) for x in given.get(k, [])] != [str(x) for x in v]]
+    if other:
+        raise ValueError(f"settings of a final run differ: {other}")
+    return given
+
+
 def disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that both sides have; must be empty for a clean train/test split."""
     return a.select(key).intersect(b.select(key))

@@ -343,6 +343,16 @@ def c20(spark, sf):
     return C.disjoint(real(spark, sf).where("label = 'L1'"), pool(spark, sf).where("label = 'L2'"), "slice_id")
 
 
+@query("C21", "SELECT DISTINCT slice_id FROM pool WHERE slice_id = 's0'")
+def c21(spark, sf):
+    return C.one_value(pool(spark, sf).where("slice_id = 's0'"), "slice_id").select("slice_id").distinct()
+
+
+@query("C27", "SELECT slice_id, label, count(*) AS n FROM pool WHERE slice_id = 's1' GROUP BY ALL")
+def c27(spark, sf):
+    return C.some_rows(pool(spark, sf).where("slice_id = 's1'"), "local").groupBy("slice_id", "label").agg(F.count("*").alias("n"))
+
+
 @query("C23", "SELECT obs_name, label FROM spots WHERE slice_id = 's3'")
 def c23(spark, sf):
     return spots(spark, sf).where("slice_id = 's3'").select("obs_name", "label")
