@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Separators of words: ASCII space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Broadcast a lookup table only up to so many rows (tens of MB); beyond that it is shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     """df, written as a table of the shared folder and read from it: like cut(), but later steps read only the columns they need."""
-    df.write.parquet(path := fresh_path(df.sparkSession, what))
+    df.write.options(**options).parquet(path := fresh_path(df.sparkSession, what))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df of so many counted rows, to be broadcast only where these are few (tens of MB); beyond that it is shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

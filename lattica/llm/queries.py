@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files
+from . import decontam, langid, licenses, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files, whitening
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op8_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
