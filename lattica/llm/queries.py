@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files, whitening
+from . import block_names, decontam, divergence, langid, licenses, line_dedup, packing, pii, quality_net, quality_rules, simhash, token_files, whitening
 from .common import table
 
 
@@ -56,9 +56,17 @@ def op11_whitening_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_names.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_js_divergence": quality_rules.ORACLE}
+    return {"op4_quality_js_divergence": quality_rules.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_exact_block_names": block_names.ORACLE}
