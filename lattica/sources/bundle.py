@@ -12,9 +12,17 @@ PREDICTIONS = "obs_name string, slice_id string, y_true string, y_pred string, s
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder under the shared folder that the session names (a temporary one where it names none)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lattica-checkpoints"
-    return f"{root.rstrip('/')}/lattica-{what}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared folder that the session names; a local one only where it names none and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(root or '/tmp/lattica-checkpoints').rstrip('/')}/lattica-{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df, computed once and written to the shared folder: a lost executor costs no recomputation, later steps read only their columns."""
+    df.write.parquet(path := scratch(df.sparkSession, what))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, partition_by: dict[str, str] | None = None, mode: str = "error") -> None:
