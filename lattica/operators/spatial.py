@@ -1,6 +1,6 @@
 """Neighbour joins and graphs within slices: k nearest neighbours, radius joins, refinement, spatial statistics.
 
-Rows of a slice meet by equi join or co-grouping on the slice. Radius joins add a grid cell to the key, so
+Rows of a slice meet in tiles (nearest neighbours, sums over pairs). Radius joins add a grid cell to the key, so
 only neighbouring cells meet.
 """
 
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tiles
+
 #: Cells of a block of distances.
 _BLOCK = 4_000_000
 
@@ -29,14 +31,14 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return 1 - (a @ b.T) / np.outer(na, nb)
 
 
-def knn_join(left: DataFrame, right: DataFrame, by: str, key: str, vector: str, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, by: str, key: str, vector: str, k: int, metric: str = "cosine", exclude_self: bool = False, tile: int = tiles.TILE) -> DataFrame:
     """(by, key, neighbour, distance, rank): the k nearest rows of right for each row of left in the same group.
 
-    Distances are rounded to 9 places and ties end in the neighbour's key. Each task holds one group of right and
-    blocks of distances, never all pairs; only the k best of a row leave it.
+    Distances are rounded to 9 places and ties end in the neighbour's key. Both sides are dealt over tiles; a task holds a tile of each and
+    blocks of distances, the k best of each row and tile leave it, and the best of these stay.
     """
     kinds = dict(left.dtypes)
-    fields = f"{by} {kinds[by]}, {key} {kinds[key]}, neighbour {kinds[key]}, distance double, rank int"
+    fields = f"{by} {kinds[by]}, {key} {kinds[key]}, neighbour {kinds[key]}, distance double"
 
     def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -51,13 +53,19 @@ def knn_join(left: DataFrame, right: DataFrame, by: str, key: str, vector: str,
                     d[part[key].to_numpy()[:, None] == names[None, :]] = np.inf
                 order = np.argsort(d, axis=1, kind="stable")[:, :k]
                 for i, (g, name) in enumerate(zip(part[by], part[key])):
-                    for rank, j in enumerate(order[i], 1):
+                    for j in order[i]:
                         if np.isfinite(d[i, j]):
-                            out.append((g, name, names[j], d[i, j], rank))
-        return pd.DataFrame(out, columns=[by, key, "neighbour", "distance", "rank"])
+                            out.append((g, name, names[j], d[i, j]))
+        return pd.DataFrame(out, columns=[by, key, "neighbour", "distance"])
 
-    other = right.select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.col(vector).alias("_vector"))
-    return left.select(by, key, vector).groupBy(by).cogroup(other.groupBy("_by")).applyInPandas(run, fields)
+    l = tiles.with_tiles(left.select(by, key, vector), by, key, tile).withColumnRenamed("_tiles", "_ln")
+    r = tiles.with_tiles(right.select(by, key, F.col(vector).alias("_vector")), by, key, tile).withColumnRenamed("_tiles", "_rn")
+    sizes = l.groupBy(by).agg(F.first("_ln").alias("_ln")).join(r.groupBy(by).agg(F.first("_rn").alias("_rn")), by)
+    l = l.drop("_ln").join(sizes.select(by, "_rn"), by).select(by, key, vector, F.col("_tile").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_rn") - 1)).alias("_b"))
+    r = r.drop("_rn").join(sizes.select(by, "_ln"), by).select(F.col(by).alias("_by"), F.col(key).alias("_key"), "_vector", F.explode(F.sequence(F.lit(0), F.col("_ln") - 1)).alias("_a2"), F.col("_tile").alias("_b2"))
+    best = l.groupBy(by, "_a", "_b").cogroup(r.groupBy("_by", "_a2", "_b2")).applyInPandas(run, fields)
+    rank = F.row_number().over(W.partitionBy(by, key).orderBy("distance", "neighbour"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def nearest_selection(real: DataFrame, pool: DataFrame, wanted: DataFrame, by: str, key: str, vector: str, order: str) -> DataFrame:
@@ -181,47 +189,18 @@ def gearys_c(values: DataFrame, edges: DataFrame, by: list[str], key: str, value
     return sums.join(cross, by).select(*by, F.round(c, places).alias("geary"))
 
 
-def adjacency_scale(distances: DataFrame, by: str, length: Column | float) -> DataFrame:
-    """p(l): mean over rows of the sum of exp(-d^2 / 2 l^2), less 1."""
-    l = F.lit(length) if not isinstance(length, Column) else length
-    per = distances.groupBy(by, "src").agg(F.sum(F.exp(-F.col("d") * F.col("d") / (2 * l * l))).alias("_s"))
-    return per.groupBy(by).agg((F.avg("_s") - 1).alias("p"))
-
-
-def search_length(distances: DataFrame, by: str, target: float, low: float = 0.001, high: float = 100.0, rounds: int = 40) -> DataFrame:
-    """(by, l): bisection for the length of each group whose p(l) is the target, all groups at once.
+def silhouette(df: DataFrame, by: str, key: str, cluster: str, places: int = 6) -> DataFrame:
+    """Mean silhouette on coordinates standardised within the group, over clusters of two or more; null with fewer than two such.
 
-    One pass gathers a histogram-free exact sum per trial; the brackets, a row a group, are the only state.
+    Distances are summed for each row and cluster in tiles; no row of a pair is made.
     """
-    spark = distances.sparkSession
-    groups = [r[0] for r in distances.select(by).distinct().collect()]  # one bracket a slice
-    bracket = {g: (low, high) for g in groups}
-    kept = distances.cache()
-    kind = dict(distances.dtypes)[by]
-    try:
-        for _ in range(rounds):
-            mid = spark.createDataFrame([(g, (a + b) / 2) for g, (a, b) in bracket.items()], f"{by} {kind}, _l double")
-            for r in adjacency_scale(kept.join(F.broadcast(mid), by), by, F.col("_l")).collect():
-                a, b = bracket[r[0]]
-                m = (a + b) / 2
-                bracket[r[0]] = (m, b) if r[1] < target else (a, m)
-            if all(b - a < 1e-6 for a, b in bracket.values()):
-                break
-    finally:
-        kept.unpersist()
-    return spark.createDataFrame([(g, round((a + b) / 2, 4)) for g, (a, b) in bracket.items()], f"{by} {kind}, l double")
-
-
-def silhouette(df: DataFrame, by: str, key: str, cluster: str, places: int = 6) -> DataFrame:
-    """Mean silhouette on coordinates standardised within the group, over clusters of two or more; null with fewer than two such."""
     w = W.partitionBy(by)
     z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.coalesce(F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(1.0))
     rows = df.withColumn("_n", F.count("*").over(W.partitionBy(by, cluster))).where("_n > 1").select(by, key, cluster, z("x").alias("x"), z("y").alias("y"))
-    a = rows.select(by, F.col(key).alias("src"), F.col(cluster).alias("own"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = rows.select(by, F.col(key).alias("dst"), F.col(cluster).alias("other"), F.col("x").alias("_rx"), F.col("y").alias("_ry"))
-    dx, dy = F.col("_x") - F.col("_rx"), F.col("_y") - F.col("_ry")
-    means = a.join(b, by).where("src != dst").groupBy(by, "src", "own", "other").agg(F.avg(F.sqrt(dx * dx + dy * dy)).alias("m"))
-    per = means.groupBy(by, "src").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("b"))
+    sizes = rows.groupBy(by, F.col(cluster).alias("other")).agg(F.count("*").alias("_n"))
+    means = tiles.cluster_distances(rows, by, key, cluster).join(sizes, [by, "other"])
+    own = F.col("own") == F.col("other")
+    per = means.groupBy(by, key).agg(F.max(F.when(own, F.col("d") / (F.col("_n") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("_n"))).alias("b"))
     s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     return per.where("b is not null").groupBy(by).agg(F.round(F.avg(s), places).alias("silhouette"))
 

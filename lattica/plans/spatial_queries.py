@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import paradigm as P
 from ..operators import spatial as N
+from ..operators import tiles as T
 from .registry import pool, query, real, spots
 
 
@@ -145,13 +146,29 @@ def e17(spark, sf):
 
 @query("E38", "SELECT slice_id, round(avg(s) - 1, 6) AS p FROM (SELECT a.slice_id, a.obs_name, sum(exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / (2 * 0.1 * 0.1))) AS s FROM spots a JOIN spots b USING (slice_id) GROUP BY ALL) GROUP BY slice_id")
 def e38(spark, sf):
-    d = N.pairwise(spots(spark, sf), "slice_id", "obs_name")
-    return N.adjacency_scale(d, "slice_id", 0.1).select("slice_id", F.round("p", 6).alias("p"))
+    return T.adjacency_scales(spots(spark, sf), "slice_id", "obs_name", [0.1]).select("slice_id", F.round("p", 6).alias("p"))
 
 
 @query("N15")
 def n15(spark, sf):
-    return N.search_length(N.pairwise(real(spark, sf), "slice_id", "obs_name"), "slice_id", 0.5)
+    return T.search_length(real(spark, sf), "slice_id", "obs_name", 0.5)
+
+
+@query("D15_sums", "SELECT a.slice_id, a.obs_name, round(sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS d FROM spots a JOIN spots b USING (slice_id) GROUP BY ALL")
+def d15_sums(spark, sf):
+    return T.distance_sums(spots(spark, sf), "slice_id", "obs_name", 64).select("slice_id", "obs_name", F.round("d", 6).alias("d"))
+
+
+#: Bisection from 0 to 0.64 in at most eight halvings: each radius of that grid is counted, the path is followed from the counts.
+@query("N15_radius", """, t AS (SELECT slice_id, obs_name, x, y FROM spots WHERE label = 'L1'), g AS (SELECT k * 0.0025::DOUBLE AS radius, k FROM (SELECT unnest(range(0, 257)) AS k)),
+p AS (SELECT t.slice_id, t.obs_name, (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) AS d2 FROM t JOIN spots s USING (slice_id)),
+c AS (SELECT slice_id, k, radius, count(*) FILTER (d2 <= radius * radius) / count(DISTINCT obs_name) AS n FROM p, g GROUP BY ALL),
+walk AS (WITH RECURSIVE w AS (SELECT DISTINCT slice_id, 0 AS lo, 256 AS hi, CASE WHEN a.n BETWEEN 3 AND 6 THEN 0 WHEN b.n BETWEEN 3 AND 6 THEN 256 END AS hit, a.n > 6 OR b.n < 3 AS none FROM c a JOIN c b USING (slice_id) WHERE a.k = 0 AND b.k = 256
+  UNION ALL SELECT w.slice_id, CASE WHEN m.n < 3 THEN (lo + hi) // 2 ELSE lo END, CASE WHEN m.n > 6 THEN (lo + hi) // 2 ELSE hi END, CASE WHEN m.n BETWEEN 3 AND 6 THEN (lo + hi) // 2 END, false FROM w JOIN c m ON m.slice_id = w.slice_id AND m.k = (lo + hi) // 2 WHERE hit IS NULL AND NOT none AND hi - lo > 1) SELECT slice_id, max(hit) AS hit FROM w GROUP BY slice_id)
+SELECT slice_id, round(hit * 0.0025, 6) AS radius FROM walk""")
+def n15_radius(spark, sf):
+    found = T.search_radius(spots(spark, sf), "slice_id", "obs_name", "label", "L1", 0.0, 0.64, 3, 6, max_run=8)
+    return found.select("slice_id", F.round("radius", 6).alias("radius"))
 
 
 @query("F10", f", {_nn('spots', 'spots', 6, _SELF)}, v AS (SELECT n.slice_id, n.obs_name, b.label, count(*) AS n FROM (SELECT slice_id, obs_name, neighbour FROM nn UNION ALL SELECT slice_id, obs_name, obs_name FROM spots) n JOIN spots b ON b.obs_name = n.neighbour GROUP BY ALL), t AS (SELECT obs_name, max(n) AS top, max_by(label, struct_pack(n := n, l := label)) AS best FROM v GROUP BY obs_name) SELECT s.obs_name, CASE WHEN coalesce(v.n, 0) < 3 AND top > 3 THEN best ELSE s.label END AS refined FROM spots s JOIN t USING (obs_name) LEFT JOIN v ON v.obs_name = s.obs_name AND v.label = s.label")
