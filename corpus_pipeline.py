@@ -15,11 +15,12 @@ from lattica.llm.common import cut, free_name, fresh_path, table
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Null and empty texts are scored like others; repeated rows share their fate."""
     model = quality_net.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_net.scored(docs, model, keep=docs.columns).where("__predicted = 1").drop("__predicted")
+    return quality_net.accepted(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of similar lines one stays; documents of which no word is left go. n_chars follows the text."""
+    """Of similar lines one stays; documents of which no word is left go. n_chars follows the text. Null and blank texts have no lines and stay;
+    of repeated rows the first keeps the lines that stay."""
     dropped = free_name(docs, "dropped")
     lines = line_dedup.deduplicated(docs, count_as=dropped)
     gone = (F.col(dropped) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
@@ -31,7 +32,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document with the least doc_id stays; of repeats of its row, one."""
     row = free_name(docs, "row")
     stay = cut(simhash.near_duplicates(docs).where("first").groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n")))
-    kept = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(stay.select(row), row, "left_semi")
+    kept = docs.withColumn(row, simhash.row_key()).join(stay.select(row), row, "left_semi")
     if stay.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([row])
     return kept.select(*(f"`{c}`" for c in docs.columns))
@@ -43,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes. Null and blank texts are an end token alone; repeated rows are packed as often as they occur."""
     return packing.packed(docs)
 
 

@@ -216,7 +216,8 @@ def _linked(entries: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     """Components (node, root) of lines that share a band and are similar.
 
     Most lines are settled by comparing the lines of each bucket with a few centres, at a cost in proportion to their number; in buckets
-    that still hold several components, all pairs of these are compared, so no link is lost.
+    that still hold several components, all pairs of these are compared; of the pairs that share a band only those whose sketches are unlike
+    (a similar pair is with probability UNSEEN) go unseen.
     """
     links = _Links(texts, shingle, similarity, sketch, band)
     for k in range(ROUNDS):
@@ -227,7 +228,7 @@ def _linked(entries: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
 def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketch: int = SKETCH, band: int = BAND) -> tuple[DataFrame, int]:
     """(doc, row, drop), rows: for each row of docs that loses lines the numbers (from 0) of those lines, and how many such rows there are."""
-    marks = _sketched(_lines(docs), shingle, sketch).select("doc", "row", "at", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("check"), "least")
+    marks = _sketched(_lines(docs), shingle, sketch).select("doc", "row", "at", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), "least")
     marks = stored(marks, "lines")
     bands = marks.select("id", F.explode(_bands(F.col("least"), sketch, band, similarity)).alias("key"))
     shared = cut(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key"))

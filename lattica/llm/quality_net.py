@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Words are hashed to so many rows of the vector table, word shapes to so many more.
 N_WORDS = 8192
@@ -225,25 +226,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return Model(vectors, fit_network(np.array([np.frombuffer(r[0], dtype=np.float32) for r in got]), np.array([r[1] for r in got])))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted; or, given keep, those columns and `__predicted`.
-
-    Null and blank texts are scored as texts without words. Only `text` enters the score.
-    """
-    passed = keep if keep is not None else ["doc_id"]
-    source = docs.select(*(f"`{c}`" for c in passed), F.col("text").cast("string").alias("__text"))
+def _scores(docs: DataFrame, columns: list[str], model: Model) -> DataFrame:
+    """(row, score): the asked columns of each row, as one, whatever their names, and its score."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    source = docs.select(row, F.col("text").cast("string").alias("text"))
 
     def run(batches):
         encode = Encoder(model.n_words, model.n_shapes)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                score = model.score(part.column(part.num_columns - 1).to_pylist(), encode)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "__score"])
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
-    out = source.mapInArrow(run, f"{fields}, __score double")
-    predicted = (F.col("__score") >= threshold).cast("int")
-    if keep is not None:
-        return out.select(*(f"`{c}`" for c in keep), predicted.alias("__predicted"))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), predicted.alias("predicted"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(1).to_pylist(), encode))], ["row", "score"])
+
+    return source.mapInArrow(run, StructType([source.schema.fields[0], StructField("score", DoubleType())]))
+
+
+def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row of docs: doc_id, held_out, score, predicted.
+
+    Null and blank texts are scored as texts without words. Only `text` enters the score. Repeated rows get the same score, further columns are not looked at.
+    """
+    out = _scores(docs, ["doc_id"], model).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns whatever their names, whose score is at least the threshold."""
+    return _scores(docs, docs.columns, model).where(F.col("score") >= threshold).select(*(F.col(f"row.`{c}`") for c in docs.columns))

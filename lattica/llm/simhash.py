@@ -41,6 +41,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def row_key():
+    """What tells rows apart: 128 bits of doc_id and text. The seed comes first, else rows equal in the first half would be in the second."""
+    return F.concat(F.hex(F.xxhash64("doc_id", "text")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "doc_id", "text")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, row, fp): the fingerprint of each row's whole text as a signed 64-bit integer; row tells repeats of a doc_id apart."""
 
@@ -51,8 +56,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 fps = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, row long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, row string, fp long")
 
 
 class Tree:

@@ -197,6 +197,7 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS, key: str = "vec_i
     error = identity_error(rows, model)
     shares = F.array(*(F.lit(float(v) / model.trace) for v in model.values))
     dev = deviation(model.n, model.sums)
-    whole = transformed(rows.select("key", "x"), model).select("key", dev.alias("dev"), F.posexplode("z").alias("at", "whitened"))
-    long = F.when(F.col("dev") < F.lit(2**63 - 1).cast("decimal(38,0)"), F.col("dev")).cast("long")
-    return whole.select(F.col("key").alias(key), (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), long.alias("deviation"), "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+    long = F.when(dev < F.lit(2**63 - 1).cast("decimal(38,0)"), dev).cast("long")
+    # once for each row, before these become a row for each component
+    whole = transformed(rows.select("key", "x", long.alias("deviation")), model).select("key", "deviation", F.posexplode("z").alias("at", "whitened"))
+    return whole.select(F.col("key").alias(key), (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
