@@ -161,63 +161,6 @@ def mixture(df: DataFrame, k: int, seed: int = 42) -> list[tuple[float, np.ndarr
     return [(w, r["mean"].toArray(), r["cov"].toArray()) for w, r in zip(model.weights, rows)]
 
 
-def louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0) -> np.ndarray:
-    """Communities of a symmetric graph by Louvain moves and contraction; numbered by their first node."""
-    rng = np.random.default_rng(seed)
-    owner = np.arange(n)
-    while True:
-        size = int(owner.max()) + 1 if len(owner) else 0
-        nbrs: list[dict[int, float]] = [{} for _ in range(size)]
-        for a, b, x in zip(owner[src], owner[dst], w):
-            nbrs[a][b] = nbrs[a].get(b, 0.0) + float(x)
-        degree = np.array([sum(d.values()) for d in nbrs])
-        total = degree.sum()
-        if total == 0:
-            break
-        comm, strength, moved = np.arange(size), degree.copy(), False
-        for _ in range(20):
-            changed = 0
-            for i in rng.permutation(size):
-                gain: dict[int, float] = {}
-                for j, x in nbrs[i].items():
-                    if j != i:
-                        gain[comm[j]] = gain.get(comm[j], 0.0) + x
-                old = comm[i]
-                strength[old] -= degree[i]
-                best, top = old, gain.get(old, 0.0) - resolution * degree[i] * strength[old] / total
-                for c in sorted(gain):
-                    g = gain[c] - resolution * degree[i] * strength[c] / total
-                    if g > top + 1e-12:
-                        best, top = c, g
-                strength[best] += degree[i]
-                comm[i] = best
-                changed += best != old
-            moved |= changed > 0
-            if not changed:
-                break
-        _, comm = np.unique(comm, return_inverse=True)
-        owner = comm[owner]
-        if not moved:
-            break
-    _, first = np.unique(owner, return_index=True)
-    rank = np.empty(len(first), dtype=int)
-    rank[np.argsort(first)] = np.arange(len(first))
-    return rank[owner]
-
-
-def communities(edges: DataFrame, by: str, resolution: float = 1.0, seed: int = 0) -> DataFrame:
-    """(by, key, cluster) of each graph; one graph (a slice) a task."""
-    kinds = dict(edges.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, codes = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
-        half = len(pdf)
-        found = louvain(len(names), codes[:half], codes[half:], pdf["w"].to_numpy(), resolution, seed)
-        return pd.DataFrame({by: pdf[by].iloc[0], "key": names, "cluster": found.astype(str)})
-
-    return edges.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, key {kinds['src']}, cluster string")
-
-
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Least-cost assignment of rows to columns of a rectangular matrix, by shortest augmenting paths."""
     flip = cost.shape[0] > cost.shape[1]

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import communities as L
 from ..operators import features as X
 from ..operators import fits as P
 from ..operators import sampling as A
@@ -233,7 +234,13 @@ def n9(spark, sf):
 def n10(spark, sf):
     from .spatial_queries import d16
 
-    return X.communities(d16(spark, sf), "slice_id")
+    return L.find_communities(d16(spark, sf), "slice_id")
+
+
+@query("N10_fallback", "SELECT count(DISTINCT cluster) AS clusters, count(*) AS n FROM (SELECT obs_name, least(greatest(floor(sqrt(count(*) OVER () / 2)), 2), 10)::INT AS k, row_number() OVER () AS r FROM real) t, LATERAL (SELECT (r % k) AS cluster)")
+def n10_fallback(spark, sf):
+    """As many clusters as the rule says, and every row in one."""
+    return L.kmeans_clusters(real(spark, sf), "obs_name", "vec").agg(F.count_distinct("cluster").alias("clusters"), F.count("*").alias("n"))
 
 
 @query("N12")

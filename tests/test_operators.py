@@ -101,12 +101,6 @@ def test_hungarian_equals_brute_force():
         assert got == min(sum(b[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(b.shape[1]), b.shape[0]))
 
 
-def test_louvain_finds_cliques():
-    edges = [(i, j) for c in range(3) for i in range(c * 5, c * 5 + 5) for j in range(c * 5, c * 5 + 5) if i != j] + [(0, 5), (5, 0), (5, 10), (10, 5)]
-    src, dst = np.array(edges).T
-    assert X.louvain(15, src, dst, np.ones(len(edges))).tolist() == [0] * 5 + [1] * 5 + [2] * 5
-
-
 def test_laws_are_recovered():
     rng = np.random.default_rng(4)
     assert P.choose_law(P.fit_counts(rng.poisson(5, 2000))) == "poisson"
