@@ -71,6 +71,11 @@ def choose_components(n_rows: int, n_features: int, wanted: int) -> int:
     return max(1, min(wanted, n_rows - 1, n_features))
 
 
+def component_counts(df: DataFrame, by: list[str], vector: str, wanted: int) -> DataFrame:
+    """(by, components): choose_components for each group."""
+    return df.groupBy(*by).agg(F.greatest(F.lit(1), F.least(F.lit(wanted), F.count("*") - 1, F.max(F.size(vector)))).cast("int").alias("components"))
+
+
 def sample_vector(df: DataFrame, by: list[str], vector: str, p: int, weight: Column, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), places: int = 6) -> DataFrame:
     """Per sample one vector: weighted mean and std of each component, its unweighted quantiles, mean, std and range of x and y.
 
@@ -106,10 +111,15 @@ _FACTORIES = {
 }
 
 
+def positive_rows(train: DataFrame, weight: str | None = None) -> DataFrame:
+    """The rows that enter a weighted fit, with _w: those of weight above 0; all, with weight 1, without a weight column."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return train.withColumn("_w", w).where("_w > 0")
+
+
 def train_classifier(train: DataFrame, vector: str, label: str, name: str = "lr", weight: str | None = None, c: float = 1.0, seed: int = 0) -> tuple[Model, Model]:
     """(indexer, model). Rows of weight 0 are left out and weights scaled to a mean of 1; the regularisation of lr is 1 / (c * sum of weights)."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = train.withColumn("_w", w).where("_w > 0")
+    rows = positive_rows(train, weight)
     mean, n, d = rows.agg(F.avg("_w"), F.count("*"), F.max(F.size(vector))).first()
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
     k = len(indexer.labels)

@@ -10,10 +10,12 @@ from ..functions import scalars as S
 from ..operators import communities as L
 from ..operators import features as X
 from ..operators import fits as P
+from ..operators import metrics as M
 from ..operators import sampling as A
 from ..operators import simulate as O
 from ..sources import bundle as B
 from ..streaming import monitor
+from .metric_queries import _CLS, _PER
 from .registry import expr, predictions, query, real, spots, table
 
 
@@ -288,11 +290,11 @@ def o20(spark, sf):
 # Sources and sinks
 
 
-@query("A1", "SELECT slice_id, count(*) AS n FROM spots GROUP BY slice_id")
+@query("A1", "SELECT obs_name, pos, slice_id, label, x, y, source FROM spots")
 def a1(spark, sf):
     path = B.scratch(spark, "bundle")
     B.write_bundle({"spots": spots(spark, sf).drop("vec")}, path, {"spots": "slice_id"})
-    return B.read_bundle(spark, path, "spots")["spots"].groupBy("slice_id").agg(F.count("*").alias("n"))
+    return B.read_bundle(spark, path, "spots")["spots"]
 
 
 @query("A3", "SELECT 'q' || k AS sample, n_name AS gene, v AS value FROM (SELECT n_name, unnest([1, 2]) AS k, unnest([n_nationkey * 1.5, n_regionkey * 2.0]::DOUBLE[]) AS v FROM nation)")
@@ -313,12 +315,20 @@ def a5(spark, sf):
     return table(spark, sf, "events").select("event_id", m.alias("m")).select("event_id", F.coalesce(F.try_element_at("m", F.lit("positions")), F.try_element_at("m", F.lit("coords"))).alias("v"))
 
 
-@query("A9", "SELECT model, count(*) AS n, count(*) FILTER (y_true = y_pred) AS hits FROM pred GROUP BY model")
-def a9(spark, sf):
+def _scanned(spark, sf):
+    """Prediction files by model, each folder with a manifest beside them, read back together."""
     path = B.scratch(spark, "predictions")
-    B.write_predictions(predictions(spark, sf).select("obs_name", "slice_id", "y_true", "y_pred", "score", "model"), path, "model")
-    read = B.read_predictions(spark, path, ["y_true", "y_pred"])
-    return read.groupBy(F.regexp_extract("folder", "model=([^/]+)", 1).alias("model")).agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("hits"))
+    p = predictions(spark, sf).select("obs_name", "slice_id", "y_true", "y_pred", "score", "model")
+    B.write_predictions(p, path, "model")
+    manifests = p.select("model").distinct().select("model", F.concat(F.lit("family_"), "model").alias("family"), F.length("model").alias("ratio"))
+    manifests.repartition("model").write.mode("append").partitionBy("model").json(path)
+    read = B.with_manifest(B.read_predictions(spark, path), B.read_manifests(spark, path), "family string, ratio int")
+    return read.withColumn("model", F.regexp_extract("folder", "model=([^/]+)", 1)).drop("folder")
+
+
+@query("A9", "SELECT obs_name, slice_id, y_true, y_pred, score, model, 'family_' || model AS family, length(model)::INT AS ratio FROM pred")
+def a9(spark, sf):
+    return _scanned(spark, sf)
 
 
 @query("A28", "SELECT label, count(*) AS n FROM spots GROUP BY label")
@@ -349,16 +359,17 @@ def a31(spark, sf):
     return B.unfinished(variants, spark.createDataFrame([("click",)], "model string"), "model")
 
 
-@query("A10", "SELECT classifier, count(*) AS n FROM pred GROUP BY classifier")
+@query("A10", f", {_PER.format(g='model')}, {_CLS.format(g='model', d=6)} SELECT 'family_' || model AS family, n::BIGINT AS n, accuracy, balanced_accuracy, macro_f1, weighted_f1, mcc FROM cls")
 def a10(spark, sf):
-    return predictions(spark, sf).groupBy("classifier").agg(F.count("*").alias("n"))
+    """All prediction folders in one scan, measured by what their manifests say."""
+    return M.classification(_scanned(spark, sf), ["family"])
 
 
-@query("A25", "SELECT count(*) AS n, round(sum(value), 3) AS total FROM expr")
+@query("A25", "SELECT spot, gene_idx, value FROM expr")
 def a25(spark, sf):
     path = B.scratch(spark, "expr")
     B.write_bundle({"expr": expr(spark, sf)}, path)
-    return B.read_bundle(spark, path, "expr")["expr"].agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return B.read_bundle(spark, path, "expr")["expr"]
 
 
 @query("K1", "SELECT ratio, n FROM (SELECT 0.5 AS ratio, count(*) AS n FROM real UNION ALL SELECT 1.0, count(*) FROM real) t".replace("0.5 AS", "0.5::DOUBLE AS"))
@@ -376,14 +387,16 @@ def k_monitor(spark, sf):
     return monitor.windowed_confusion(e, "ts", "1 hour", "10 minutes", ["event_type"])
 
 
-@query("L1", "SELECT unnest(['real_baseline', 'weighted_erm']) AS paradigm, unnest([count(*), 2 * count(*)]) AS n FROM real")
+@query("L1", """, n AS (SELECT count(*) AS n FROM real), syn AS (SELECT obs_name FROM (SELECT obs_name, row_number() OVER (ORDER BY md5('42||' || obs_name), obs_name) AS r FROM pool) JOIN n ON r <= n)
+SELECT 'real_baseline' AS paradigm, obs_name, 'real' AS augmentation_source, 1.0::DOUBLE AS loss_weight FROM real UNION ALL SELECT 'weighted_erm', obs_name, 'real', round(0.5 / (SELECT count(*) FROM real), 9) FROM real
+UNION ALL SELECT 'weighted_erm', obs_name, 'synthetic', round(0.5 / (SELECT count(*) FROM syn), 9) FROM syn""")
 def l1(spark, sf):
+    """Each known paradigm builds its package from the same rows."""
     from ..operators import paradigm
 
-    r = real(spark, sf)
-    p = spots(spark, sf).where("source = 'synthetic'").withColumn("label", F.lit("all"))
+    r, p = (df.withColumn("label", F.lit("all")) for df in (real(spark, sf), spots(spark, sf).where("source = 'synthetic'")))
     out = None
     for name in ("real_baseline", "weighted_erm"):
-        n = paradigm.builder(name)(r.withColumn("label", F.lit("all")), p, 1.0, 0.5, 42).agg(F.count("*").alias("n")).withColumn("paradigm", F.lit(name))
-        out = n if out is None else out.unionByName(n)
-    return out.select("paradigm", "n")
+        package = paradigm.builder(name)(r, p, 1.0, 0.5, 42).select(F.lit(name).alias("paradigm"), "obs_name", "augmentation_source", F.round("loss_weight", 9).alias("loss_weight"))
+        out = package if out is None else out.unionByName(package)
+    return out

@@ -43,7 +43,7 @@ def write_predictions(df: DataFrame, path: str, *by: str) -> None:
 
 def read_predictions(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All prediction files below path with their folder; read in parallel, only the asked columns parsed."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).schema(PREDICTIONS).csv(path)
+    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(PREDICTIONS).csv(path)
     where = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "")
     return df.select(*(columns or df.columns), where.alias("folder"))
 
