@@ -32,13 +32,13 @@ nn AS (SELECT source, src, dst FROM (SELECT a.source, a.obs_name AS src, b.obs_n
 z AS (SELECT source, obs_name, gene, v - avg(v) OVER (PARTITION BY source, gene) AS z FROM x), ss AS (SELECT source, gene, count(*) AS n, sum(z * z) AS ss FROM z GROUP BY ALL),
 mo AS (SELECT nn.source, a.gene, any_value(n) * sum(a.z * b.z) / (count(*) * any_value(ss)) AS m FROM nn JOIN z a ON a.obs_name = src JOIN z b ON b.obs_name = dst AND a.gene = b.gene JOIN ss ON ss.source = nn.source AND ss.gene = a.gene WHERE ss > 0 GROUP BY ALL),
 mm AS (SELECT avg(m) FILTER (source = 'real') AS r, avg(m) FILTER (source <> 'real') AS s FROM mo)
-SELECT (SELECT count(*) FROM bg) AS n_genes, (SELECT max(nr) FROM bg) AS n_real, (SELECT max(ns) FROM bg) AS n_synthetic, (SELECT round(avg(zs) - avg(zr), 6) FROM bg) AS fraction_zero_delta, (SELECT round(avg(abs(ms - mr)), 6) FROM bg) AS mean_gene_mean_abs_diff,
-(SELECT round(avg(abs(vs - vr)), 6) FROM bg) AS mean_gene_var_abs_diff, (SELECT round({_JSD}, 6) FROM h) AS global_jsd, (SELECT round(avg(j), 6) FROM gj) AS mean_gene_jsd, (SELECT round(quantile_cont(j, 0.5), 6) FROM gj) AS median_gene_jsd,
-(SELECT round(ln(1 + avg(l) FILTER (source <> 'real')) - ln(1 + avg(l) FILTER (source = 'real')), 6) FROM lib) AS library_size_log_ratio, (SELECT round(sum(abs(fa - fb) * step), 6) FROM lf) AS library_size_wasserstein,
-(SELECT round(corr(mr, ms), 6) FROM bg) AS gene_mean_correlation, (SELECT round(corr(vr, vs), 6) FROM bg) AS gene_variance_correlation, (SELECT round(corr(a, b), 6) FROM pr) AS spot_total_correlation,
-round(r, 6) AS mean_morans_i_real, round(s, 6) AS mean_morans_i_synthetic, round(abs(s - r), 6) AS morans_i_abs_diff FROM mm""")
+SELECT (SELECT count(*) FROM bg) AS n_genes, (SELECT max(nr) FROM bg) AS n_real, (SELECT max(ns) FROM bg) AS n_synthetic, (SELECT round(avg(zs) - avg(zr), 8) FROM bg) AS fraction_zero_delta, (SELECT round(avg(abs(ms - mr)), 8) FROM bg) AS mean_gene_mean_abs_diff,
+(SELECT round(avg(abs(vs - vr)), 8) FROM bg) AS mean_gene_var_abs_diff, (SELECT round({_JSD}, 8) FROM h) AS global_jsd, (SELECT round(avg(j), 8) FROM gj) AS mean_gene_jsd, (SELECT round(quantile_cont(j, 0.5), 8) FROM gj) AS median_gene_jsd,
+(SELECT round(ln(1 + avg(l) FILTER (source <> 'real')) - ln(1 + avg(l) FILTER (source = 'real')), 8) FROM lib) AS library_size_log_ratio, (SELECT round(sum(abs(fa - fb) * step), 8) FROM lf) AS library_size_wasserstein,
+(SELECT round(corr(mr, ms), 8) FROM bg) AS gene_mean_correlation, (SELECT round(corr(vr, vs), 8) FROM bg) AS gene_variance_correlation, (SELECT round(corr(a, b), 8) FROM pr) AS spot_total_correlation,
+round(r, 8) AS mean_morans_i_real, round(s, 8) AS mean_morans_i_synthetic, round(abs(s - r), 8) AS morans_i_abs_diff FROM mm""")
 def e14(spark, sf):
-    return Q.fidelity(real(spark, sf), pool(spark, sf))
+    return Q.fidelity(real(spark, sf), pool(spark, sf), places=8)
 
 
 #: Two wide tables that share some columns.
