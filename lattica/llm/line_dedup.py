@@ -96,6 +96,18 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _grams(line, shingle: int):
+    """The set of shingles of a line, as hashes."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
+
+
+def _jaccard(one, two, similarity: float):
+    """Whether two sets are that similar. Each is computed once for a pair: a filter would compute a column anew wherever it is named."""
+    sets = F.array(F.struct(one.alias("a"), two.alias("b")))
+    sizes = F.transform(sets, lambda t: F.struct(F.size(t["a"]).alias("n"), F.size(t["b"]).alias("m"), F.size(F.array_intersect(t["a"], t["b"])).alias("both")))
+    return F.exists(sizes, lambda t: (t["both"] > 0) & (t["both"] >= (t["n"] + t["m"] - t["both"]) * similarity))
+
+
 def _alike(one, two, similarity: float, sketch: int):
     """Whether two sketches have as much in common as those of similar lines; exact for lines of fewer shingles than a sketch."""
     n, m, common = F.size(one), F.size(two), F.size(F.array_intersect(one, two))
@@ -106,16 +118,11 @@ def _alike(one, two, similarity: float, sketch: int):
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, sketch: int) -> DataFrame:
     """Those of the pairs (a, b, ra, rb) of line ids and their roots whose sets of shingles have at least this Jaccard similarity."""
 
-    def grams(c):
-        return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
-
     def side(x):
         return texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("least").alias(f"s{x}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("sa"), F.col("sb"), similarity, sketch))
-    sets = both.select("ra", "rb", grams("la").alias("ga"), grams("lb").alias("gb"))
-    common = sets.select("ra", "rb", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("n"))
-    return common.where(F.col("n") > 0).where(F.col("n") >= (F.col("na") + F.col("nb") - F.col("n")) * similarity).select("ra", "rb")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.when(_alike(F.col("sa"), F.col("sb"), similarity, sketch), _jaccard(_grams(F.col("la"), shingle), _grams(F.col("lb"), shingle), similarity)).otherwise(False)).select("ra", "rb")
 
 
 def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -168,24 +175,23 @@ class _Links:
     def rest(self, now: DataFrame) -> None:
         """Compares the pairs of different components that share a bucket, each in the first bucket that it shares.
 
-        A first pass compares sketches and keeps the lines that have a likely partner; the texts of these alone are brought together, and
-        pairs are tested inside the join, so only links leave it. A bucket of more than PIECE lines is split: each piece of it meets
+        A first pass compares sketches and keeps the lines that have a likely partner whose first shared bucket this is; the texts of these alone
+        are brought together, and pairs are tested inside the join, so only links leave it. A bucket of more than PIECE lines is split: each piece of it meets
         a copy of the whole.
         """
-        sketched = now.join(self.texts.select("id", "least"), "id")
-        one, two, met = _sides(sketched, "least")
-        alike = _alike(F.col("least"), F.col("least2"), self.similarity, self.sketch)
-        likely = cut(one.join(two, met & alike, "left_semi").select("key", "id", "root"))
-        lines = likely.join(self.texts.select("id", "line", "least"), "id")
         keys = _bands(F.col("least"), self.sketch, self.band, self.similarity)
-        one, two, met = _sides(lines.withColumn("keys", keys), "least", "keys", "line")
-        grams = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{self.shingle}}}))"), F.lit(1)), lambda g: F.xxhash64(g)))
-        one, two = one.withColumn("grams", grams("line")).drop("line"), two.withColumn("grams2", grams("line2")).drop("line2")
         first = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
-        n, m, common = F.size("grams"), F.size("grams2"), F.size(F.array_intersect("grams", "grams2"))
+        alike = _alike(F.col("least"), F.col("least2"), self.similarity, self.sketch)
+        sketched = now.join(self.texts.select("id", "least", keys.alias("keys")), "id")
+        one, two, met = _sides(sketched, "least", "keys")
+        likely = cut(one.join(two, met & F.when(alike, first).otherwise(False), "left_semi").select("key", "id", "root"))
+        lines = likely.join(self.texts.select("id", "line", "least", keys.alias("keys")), "id")
+        one, two, met = _sides(lines, "least", "keys", "line")
+        one, two = one.withColumn("grams", _grams(F.col("line"), self.shingle)).drop("line"), two.withColumn("grams2", _grams(F.col("line2"), self.shingle)).drop("line2")
+        n, m = F.size("grams"), F.size("grams2")
         sizes = (F.least(n, m) > 0) & (F.least(n, m) >= F.greatest(n, m) * self.similarity)
-        near = (F.col("id") > F.col("id2")) & sizes & F.when(alike, first & (common >= (n + m - common) * self.similarity)).otherwise(False)
-        found = one.join(two, met & near)
+        likely_pair = (F.col("id") > F.col("id2")) & sizes & F.when(alike, first).otherwise(False)
+        found = one.join(two, met & F.when(likely_pair, _jaccard(F.col("grams"), F.col("grams2"), self.similarity)).otherwise(False))
         self.join(found.select(F.col("root").alias("a"), F.col("root2").alias("b")))
 
 
