@@ -118,15 +118,15 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return series - np.where(small, np.log(np.prod([low + k for k in range(10)], axis=0)), 0.0)
 
 
-def nb_loglik(y: np.ndarray, mean: float, theta: float) -> float:
-    return float((_lgamma(y + theta) - math.lgamma(theta) - _lgamma(y + 1) + theta * math.log(theta / (theta + mean)) + y * math.log(max(mean, 1e-12) / (theta + mean))).sum())
+def nb_loglik(y: np.ndarray, mean: float, theta: float, count: np.ndarray | float = 1.0) -> float:
+    return float((count * (_lgamma(y + theta) - math.lgamma(theta) - _lgamma(y + 1) + theta * math.log(theta / (theta + mean)) + y * math.log(max(mean, 1e-12) / (theta + mean)))).sum())
 
 
-def poisson_loglik(y: np.ndarray, rate: float) -> float:
-    return float((y * math.log(max(rate, 1e-12)) - rate - _lgamma(y + 1)).sum())
+def poisson_loglik(y: np.ndarray, rate: float, count: np.ndarray | float = 1.0) -> float:
+    return float((count * (y * math.log(max(rate, 1e-12)) - rate - _lgamma(y + 1))).sum())
 
 
-def _inflated(loglik_positive: float, n_zero: int, n: int, p0: float, zero: float) -> float:
+def _inflated(loglik_positive: float, n_zero: float, n: float, p0: float, zero: float) -> float:
     """Log likelihood with extra zeros p0, given that of the positive values and the base law's chance of zero."""
     return n_zero * math.log(max(p0 + (1 - p0) * zero, 1e-300)) + (n - n_zero) * math.log(max(1 - p0, 1e-300)) + loglik_positive
 
@@ -148,30 +148,32 @@ def _golden(f, low: float, high: float, rounds: int = 60) -> float:
     return (a + b) / 2
 
 
-def fit_counts(y: np.ndarray) -> dict[str, dict[str, float]]:
-    """Maximum likelihood of the Poisson, NB, ZIP and ZINB laws: mean, theta, p0, loglik of each."""
+def fit_counts(y: np.ndarray, count: np.ndarray | None = None) -> dict[str, dict[str, float]]:
+    """Maximum likelihood of the Poisson, NB, ZIP and ZINB laws: mean, theta, p0, loglik of each. count: how often each y occurs (once)."""
     y = np.maximum(np.rint(y), 0)
-    n, m, n_zero = len(y), float(y.mean()), int((y == 0).sum())
-    positive = y[y > 0]
-    out = {"poisson": {"mean": m, "theta": math.inf, "p0": 0.0, "loglik": poisson_loglik(y, m)}}
-    theta = math.exp(_golden(lambda t: nb_loglik(y, m, math.exp(t)), math.log(1e-3), math.log(1e6))) if m > 0 else 1e6
-    out["nb"] = {"mean": m, "theta": theta, "p0": 0.0, "loglik": nb_loglik(y, m, theta)}
+    count = np.ones(len(y)) if count is None else np.asarray(count, dtype=float)
+    n, n_zero = float(count.sum()), float(count[y == 0].sum())
+    m = float((count * y).sum()) / n
+    positive, often = y[y > 0], count[y > 0]
+    out = {"poisson": {"mean": m, "theta": math.inf, "p0": 0.0, "loglik": poisson_loglik(y, m, count)}}
+    theta = math.exp(_golden(lambda t: nb_loglik(y, m, math.exp(t), count), math.log(1e-3), math.log(1e6))) if m > 0 else 1e6
+    out["nb"] = {"mean": m, "theta": theta, "p0": 0.0, "loglik": nb_loglik(y, m, theta, count)}
     if n_zero and len(positive):
-        mp = float(positive.mean())
+        mp = float((often * positive).sum() / often.sum())
 
         def best_p0(zero):
             return min(max((n_zero / n - zero) / max(1 - zero, 1e-12), 0.0), 1.0)
 
         def zip_ll(rate):
             zero = math.exp(-rate)
-            return _inflated(poisson_loglik(positive, rate), n_zero, n, best_p0(zero), zero)
+            return _inflated(poisson_loglik(positive, rate, often), n_zero, n, best_p0(zero), zero)
 
         rate = _golden(zip_ll, max(m, 1e-6), max(mp, 1e-6) + 1e-6)
         out["zip"] = {"mean": rate, "theta": math.inf, "p0": best_p0(math.exp(-rate)), "loglik": zip_ll(rate)}
 
         def zinb_ll(mean, theta):
             zero = math.exp(theta * math.log(theta / (theta + mean)))
-            return _inflated(nb_loglik(positive, mean, theta), n_zero, n, best_p0(zero), zero)
+            return _inflated(nb_loglik(positive, mean, theta, often), n_zero, n, best_p0(zero), zero)
 
         mean, th = max(m, 1e-6), theta
         for _ in range(8):
@@ -190,17 +192,90 @@ def choose_law(fits: dict[str, dict[str, float]], gain: float = 1.92) -> str:
     return best
 
 
-def fit_laws(expr: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """(by, law, mean, theta, p0, loglik): the chosen law for each group, one Arrow batch a group."""
-    kinds = dict(expr.dtypes)
+def counted(expr: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """(by, value, n): how often each whole value from 0 on occurs in each group."""
+    whole = F.greatest(F.rint(value), F.lit(0.0)).cast("long")
+    return expr.groupBy(*by, whole.alias("value")).agg(F.count("*").alias("n"))
+
+
+def with_absent(counts: DataFrame, by: list[str], spots: DataFrame, within: list[str]) -> DataFrame:
+    """counts of sparse rows, and as many zeros as spots (within, n_spots) have no row; groups that occur nowhere in `within` have none."""
+    missing = counts.groupBy(*by).agg(F.sum("n").alias("n")).join(spots, within).select(*by, F.lit(0).cast("long").alias("value"), (F.col("n_spots") - F.col("n")).alias("n"))
+    return counts.unionByName(missing.where("n > 0")).groupBy(*by, "value").agg(F.sum("n").alias("n"))
+
+
+def fit_counted(counts: DataFrame, by: list[str], law: str | None = None) -> DataFrame:
+    """(by, law, mean, theta, p0, loglik) of rows of counted(): the law asked for, or else the one chosen.
+
+    A group goes to one Arrow batch as its distinct values, not its rows. Where there is no inflated fit (no zeros, or nothing else) the law
+    without inflation stands in: Poisson for `zip`, NB for `zinb`.
+    """
+    kinds = dict(counts.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fits = fit_counts(pdf["value"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float))
+        name = law or choose_law(fits)
+        name = name if name in fits else {"zip": "poisson", "zinb": "nb"}[name]
+        f = fits[name]
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), name, f["mean"], f["theta"] if math.isfinite(f["theta"]) else None, f["p0"], f["loglik"]]], columns=[*by, "law", "mean", "theta", "p0", "loglik"])
+
+    return counts.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", law string, mean double, theta double, p0 double, loglik double")
+
+
+def fit_laws(expr: DataFrame, by: list[str], value: str = "value", law: str | None = None) -> DataFrame:
+    """(by, law, mean, theta, p0, loglik): the chosen law for each group (or the one named), fitted on counted values."""
+    return fit_counted(counted(expr, by, value), by, law)
+
+
+#: Newton steps of the zero-inflated Poisson rate; they fall to the root from above and double their places.
+ZIP_ROUNDS = 30
+
+
+def fit_zip(expr: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """(by, law, rate, p0, kernel): the zero-inflated Poisson law by one aggregation and columns alone.
+
+    The rate solves rate = m (1 - exp(-rate)), m the mean of the positive values; zeros beyond exp(-rate) are the inflation. Without any
+    the law is Poisson. kernel: log likelihood without the factorials.
+    """
+    whole = F.greatest(F.rint(value), F.lit(0.0))
+    agg = expr.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.count_if(whole == 0).cast("double").alias("zeros"), F.sum(whole).alias("total"))
+    m = F.coalesce(F.try_divide("total", F.col("n") - F.col("zeros")), F.lit(0.0))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(ZIP_ROUNDS)), m, lambda r, _: r - (r - m * (1 - F.exp(-r))) / (1 - m * F.exp(-r)))
+    root = agg.withColumn("root", F.when(m > 1, solved))
+    p0 = (F.col("zeros") / F.col("n") - F.exp(-F.col("root"))) / (1 - F.exp(-F.col("root")))
+    fit = root.withColumn("p0", F.greatest(F.coalesce(p0, F.lit(0.0)), F.lit(0.0))).withColumn("rate", F.when(F.col("p0") > 0, F.col("root")).otherwise(F.col("total") / F.col("n")))
+    zero = F.col("zeros") * F.ln(F.greatest(F.col("p0") + (1 - F.col("p0")) * F.exp(-F.col("rate")), F.lit(1e-300)))
+    rest = (F.col("n") - F.col("zeros")) * (F.ln(1 - F.col("p0")) - F.col("rate")) + F.col("total") * F.ln(F.greatest("rate", F.lit(1e-12)))
+    return fit.select(*by, F.when(F.col("p0") > 0, "zip").otherwise("poisson").alias("law"), "rate", "p0", (zero + rest).alias("kernel"))
+
+
+def fit_domains(expr: DataFrame, domain: str, gene: str, spots: DataFrame, least: int = 2, value: str = "value") -> DataFrame:
+    """(domain, gene, n_nonzero, law, mean, theta, p0, loglik): laws of each gene in each domain by itself.
+
+    expr may leave out zeros; spots: (domain, n_spots). A gene with fewer than `least` positive values in a domain has the law `zero` there.
+    """
+    by = [domain, gene]
+    counts = with_absent(counted(expr, by, value), by, spots.select(domain, "n_spots"), [domain])
+    size = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("value") > 0, F.col("n"))), F.lit(0)).alias("n_nonzero"))
+    fits = fit_counted(counts.join(size.where(F.col("n_nonzero") >= least), by, "left_semi"), by)
+    none = {"law": F.lit("zero"), "mean": F.lit(0.0), "theta": F.lit(None).cast("double"), "p0": F.lit(1.0), "loglik": F.lit(0.0)}
+    seen = F.col("law").isNotNull()
+    return size.join(fits, by, "left").select(*by, "n_nonzero", *(F.when(seen, F.col(c)).otherwise(other).alias(c) for c, other in none.items()))
+
+
+def dropout_curves(expr: DataFrame, by: list[str], gene: str, value: str = "value") -> DataFrame:
+    """(by, x0, k, n_genes): the logistic curve of the share of zeros on the log mean, over the genes of each group.
+
+    Means and shares come by aggregation; a batch holds a row a gene. Genes without a positive value have no log mean and are left out.
+    """
+    rates = expr.groupBy(*by, gene).agg(F.avg(value).alias("_mean"), F.avg((F.col(value) == 0).cast("double")).alias("_zero")).where("_mean > 0")
+    kinds = dict(rates.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fits = fit_counts(pdf[value].to_numpy(dtype=float))
-        law = choose_law(fits)
-        f = fits[law]
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), law, f["mean"], f["theta"] if math.isfinite(f["theta"]) else None, f["p0"], f["loglik"]]], columns=[*by, "law", "mean", "theta", "p0", "loglik"])
+        x0, k = fit_dropout(pdf["_mean"].to_numpy(), pdf["_zero"].to_numpy())
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), x0, k, len(pdf)]], columns=[*by, "x0", "k", "n_genes"])
 
-    return expr.select(*by, value).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", law string, mean double, theta double, p0 double, loglik double")
+    return rates.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", x0 double, k double, n_genes long")
 
 
 def fit_dropout(means: np.ndarray, zeros: np.ndarray, rounds: int = 100) -> tuple[float, float]:

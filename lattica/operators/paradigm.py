@@ -116,6 +116,21 @@ def regional_weighted_erm(real, synthetic, ratio, alpha, seed=0, label="label",
     return regional_weights(package, sampling.density_alphas(real, region, alpha), region)
 
 
+def slice_pool(drawn: DataFrame, real: DataFrame, model: str, tag: str, seed: int, ratio: float, order: str, slice_: str = "slice_id", label: str = "label") -> DataFrame:
+    """The generated rows of all slices and conditions as one pool, with what tells where each comes from.
+
+    drawn: rows of each (slice, label), numbered by `order` within it; real: the training rows, counted by condition (0 where there are none).
+    Characters of slices and labels other than letters, digits, `.`, `_` and `-` become `_` in names.
+    """
+    token = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_.-]+", "_")
+    n_real = real.groupBy(slice_, label).agg(F.count("*").alias("n_real_train_condition"))
+    at = F.row_number().over(W.partitionBy(slice_, label).orderBy(order)) - 1
+    named = drawn.withColumn("obs_name", F.concat_ws("_", F.lit("syn"), F.lit(model), token(slice_), token(label), at)).join(n_real, [slice_, label], "left")
+    kept = [c for c in drawn.columns if c not in (slice_, label, order)]
+    facts = {"split_tag": tag, "random_seed": seed, "pool_ratio": ratio, "generation_scope": "slice_conditional", "condition_key": label}
+    return named.select("obs_name", slice_, label, F.col(label).alias("condition_label"), F.lit("synthetic").alias("source"), F.lit(model).alias("generator"), F.coalesce("n_real_train_condition", F.lit(0)).alias("n_real_train_condition"), *(F.lit(v).alias(k) for k, v in facts.items()), *kept)
+
+
 def variant_grid(spark, families: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """(family, ratio, alpha): each family's ratios with its alphas; an empty list gives one null."""
     rows = [(f, r, a) for f, (ratios, alphas) in families.items() for r in (ratios or [None]) for a in (alphas or [None])]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,23 @@ def evaluation_labels(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(f"`{df.columns[0]}`").alias("obs_name"), F.col(f"`{label}`").alias("label"))
 
 
+def cluster_results(spark: SparkSession, root: str, name: str = "spatial_clusters.csv") -> DataFrame:
+    """The rows of every cluster table called `name` below root, as text, with `parts`, the folders it lies in.
+
+    A table may be a file of that name or a folder of files, as Spark writes it; of key=value folders the part is the value. Other files
+    are listed, not read; the columns are those of the first table. The driver holds the paths, as Spark's readers do.
+    """
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
+    inside = f"/([^/=]*=)?{re.escape(name)}(/[^/]*)?$"
+    found = [r.path for r in paths.where(F.col("path").rlike(inside)).collect()]
+    if not found:
+        raise FileNotFoundError(f"no {name} below {root}")
+    below = "^.*?" + re.escape(urlparse(root).path.rstrip("/")) + "/?"
+    rows = spark.read.option("header", True).option("inferSchema", False).option("recursiveFileLookup", True).csv(found)
+    folder = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), inside, ""), below, "")
+    return rows.withColumn("parts", F.transform(F.split(folder, "/"), lambda p: F.regexp_replace(p, "^[^=]*=", "")))
+
+
 def split_table(spark: SparkSession, path: str) -> DataFrame:
     """A split file; sample_id and split are text, so that 007 stays 007."""
     return require_columns(_csv(spark, path), "sample_id", "split")
