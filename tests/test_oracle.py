@@ -41,6 +41,6 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql()) - {"E32", "N15"}))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql()) - {"N15"}))
 def test_other_queries_run(spark, name):
     assert plans.queries()[name](spark, SF).limit(5).collect()
