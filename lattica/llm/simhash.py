@@ -18,7 +18,9 @@ RADIUS = 3
 SAMPLE = 16384
 #: Fingerprints that a leaf should hold.
 LEAF = 1024
+#: Levels of a tree that is sent to all tasks. Leaves that then hold more than FULL times LEAF are split in their own task.
 MAX_DEPTH = 13
+FULL = 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -96,14 +98,15 @@ class Tree:
         self.child[me] = (left, self._grow(have[d > t], depth - 1, rng))
         return me
 
-    def route(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, part: np.ndarray, at_home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, at home) for each leaf that a point calls at.
 
-        Each point is at home in one leaf. For two points within the radius whose homes part at a
+        Each point is at home in one leaf, but those that at_home says are visitors from the start. For two points within the radius whose homes part at a
         node, the one on the right also goes left there, as a visitor; from then on it goes to
         every child that the triangle inequality does not exclude, so it reaches the other's home.
         """
-        rows, node, home = np.arange(len(part)), np.zeros(len(part), dtype=np.int64), np.ones(len(part), dtype=bool)
+        rows, node = np.arange(len(part)), np.zeros(len(part), dtype=np.int64)
+        home = np.ones(len(part), dtype=bool) if at_home is None else at_home
         out = []
         while len(rows):
             done = self.cut[node] < 0
@@ -124,7 +127,8 @@ class Tree:
 
 
 def _parts(fp: np.ndarray, tree: int) -> np.ndarray:
-    return (fp >> np.uint64(32)) if tree == 0 else (fp & np.uint64(0xFFFFFFFF))
+    """The half of the fingerprints that a tree is over; for tree 2, all of them."""
+    return (fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF), fp)[tree]
 
 
 def forest(homes: np.ndarray, visitors: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -142,21 +146,55 @@ def forest(homes: np.ndarray, visitors: np.ndarray, radius: int) -> list[tuple[i
     return [(int(every[i]), int(every[root[i]])) for i in moved]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+def _split(fp: np.ndarray, home: np.ndarray, radius: int, tree: int, leaf: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """The leaves (fp, home) of a tree grown on the home points; None if comparing these takes over half the work of comparing all."""
+    own = _parts(fp[home], tree)
+    some = own if len(own) <= SAMPLE else np.random.default_rng(7).choice(own, SAMPLE, replace=False)
+    depth = min(MAX_DEPTH, int(np.ceil(np.log2(len(own) / leaf))))
+    rows, at, own_leaf = Tree(some, radius if tree == 2 else radius // 2, depth).route(_parts(fp, tree), home)
+    order = np.argsort(at, kind="stable")
+    cuts = np.nonzero(np.diff(at[order]))[0] + 1
+    pieces = [(fp[rows[i]], own_leaf[i]) for i in np.split(order, cuts)]
+    if sum(int(h.sum()) * len(f) for f, h in pieces) * 2 > len(own) * len(fp):
+        return None
+    return [(f, h) for f, h in pieces if h.any()]
+
+
+def settled(fp: np.ndarray, home: np.ndarray, radius: int, tree: int, leaf: int = LEAF) -> list[tuple[int, int]]:
+    """Star edges of a leaf of a tree that join what pairs (a home point and any other) close in the tree's half join.
+
+    A leaf of more than FULL * leaf home points is split by a tree grown on them, and again until its leaves hold fewer. Where
+    the half does not tell the points apart, one over all 64 bits splits them; what that can't split is compared in blocks.
+    """
+    edges, todo = [], [(fp, home, tree)]
+    while todo:
+        fp, home, tree = todo.pop()
+        if home.sum() > FULL * leaf:
+            if pieces := _split(fp, home, radius, tree, leaf):
+                todo += [(f, h, tree) for f, h in pieces]
+                continue
+            if tree < 2:
+                todo.append((fp, home, 2))
+                continue
+        edges += forest(fp[home], fp[~home], radius)
+    return edges
+
+
+def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int = LEAF, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(a, b): star edges that join exactly those of the distinct fingerprints `fp` (long) which chains of
     pairs at `radius` or fewer differing bits join.
 
     Two fingerprints within 2r+1 bits are within r bits in one of their 32-bit halves, so there is a
     tree for each half with that smaller radius, and far fewer points lie near its boundaries. Each
     leaf is a shard: its home points are compared with all that call there, on all 64 bits. A leaf gives
-    a spanning forest, not its pairs. The trees (at most 2**13 leaves each) are laid out on a bounded
-    sample, all fingerprints go through them.
+    a spanning forest, not its pairs. The trees (at most 2**max_depth leaves each) are laid out on a bounded
+    sample, all fingerprints go through them; a leaf that holds far more than `leaf` is split again in its task (settled).
     """
     spark = fps.sparkSession
     n = fps.count()
     some = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
     some = np.array(some, dtype=np.int64).view(np.uint64)
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / leaf)))))
+    depth = min(max_depth, max(0, int(np.ceil(np.log2(max(1, n) / leaf)))))
     trees = [Tree(_parts(some, k), radius // 2, depth) for k in (0, 1)]
 
     def route(batches):
@@ -168,7 +206,7 @@ def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, home = pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy()
-        edges = np.array(forest(fp[home], fp[~home], radius), dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        edges = np.array(settled(fp, home, radius, int(pdf["shard"].iloc[0]) % 2, leaf), dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
     routed = fps.select("fp").mapInArrow(route, "shard long, fp long, home boolean")

@@ -83,3 +83,36 @@ def test_near_duplicates(spark):
     want = sorted((str(d), f"{f:016x}", least[r]) for (d, _, _), f, r in zip(rows, fps, root))
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_full_leaves_split(spark):
+    """Trees without levels, so one leaf of each holds all: components are those of brute force, and work on far fewer pairs."""
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 2**64, 1500, dtype=np.uint64)
+    # a third of the points have one upper half, so no tree over it tells them apart
+    seeds[:500] = (seeds[:500] & np.uint64(0xFFFFFFFF)) | np.uint64(0xABCDEF0100000000)
+    near = seeds[rng.integers(0, len(seeds), 1500)].copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)
+    fps = np.unique(np.concatenate([seeds, near]))
+    table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    got = {}
+    for depth, leaf in ((0, 16), (3, 32), (simhash.MAX_DEPTH, 1024)):
+        edges = simhash.links(table, leaf=leaf, max_depth=depth).collect()
+        at = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+        got[depth] = brute_components(len(fps), [(at[e.a], at[e.b]) for e in edges])
+    pairs = [(i, int(j)) for i in range(len(fps)) for j in np.nonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3)[0]]
+    want = brute_components(len(fps), pairs)
+    assert all(g == want for g in got.values())
+
+
+def test_split_lowers_work():
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 2**64, 20000, dtype=np.uint64))
+    home = np.ones(len(fps), dtype=bool)
+    pieces = simhash._split(fps, home, 3, 0, 256)
+    assert sum(int(h.sum()) for _, h in pieces) == len(fps)
+    assert sum(int(h.sum()) * len(f) for f, h in pieces) * 20 < len(fps) ** 2
+    # equal halves can't be split by the half
+    one = fps & np.uint64(0xFFFFFFFF)
+    assert simhash._split(one, home, 3, 0, 256) is None
