@@ -7,9 +7,12 @@ from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import stored
+
 WINDOW = 10
 #: Bytes of benchmark text in one block of patterns; the blocks of a larger benchmark are searched in turn.
 BLOCK_BYTES = 8 << 20
@@ -18,6 +21,7 @@ _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x8
 #: A-Z to a-z; every other ASCII character that is in no word to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c in _KEEP else 32 for c in range(256))
 
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -144,18 +148,21 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int)
     row, text = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text")
     if benchmark_blocks(benchmark, block_bytes) <= 1:
         return _scan(docs.select(row, text), next(blocks(benchmark, block_bytes), []), window)
-    key = F.xxhash64(F.col("text").cast("string")).alias("key")
+    key = F.concat_ws("-", F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text"))).alias("key")
     hits = None
     for items in blocks(benchmark, block_bytes):
         part = _scan(docs.select(key, text), items, window).where("size(spans) > 0").select("key", "spans", "items")
         hits = part if hits is None else hits.unionByName(part)
-
-    def merge(found):
-        return [(a, n) for a, n in union([(x["at"], x["at"] + x["n"]) for x in found])]
-
-    # equal texts have equal results, so a set of them stays small for a text with many copies
-    merged = hits.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = merged.select("key", F.udf(merge, "array<struct<at:long,n:long>>")("found").alias("spans"), "items")
+    hits = stored(hits, "hits")
+    # equal texts have equal results, so distinct ones stay few for a text with many copies
+    each = hits.select("key", F.inline("spans")).distinct()
+    ordered = W.partitionBy("key").orderBy("at", "n")
+    before = F.max(F.col("at") + F.col("n")).over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    runs = each.withColumn("begins", F.coalesce(F.col("at") > before, F.lit(True)).cast("long")).withColumn("run", F.sum("begins").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = runs.groupBy("key", "run").agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("n"))
+    spans = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("spans"))
+    named = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    merged = spans.join(named, "key", "left")
     counted = _scan(docs.select(row, key, text), [], window).drop("spans", "items")
     return counted.join(merged, "key", "left").select("row", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("spans", "array<struct<at:long,n:long>>"), ("items", "array<string>"))))
 
@@ -164,7 +171,7 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int =
     """Per row of docs: the columns `keep`, __n_words, __spans (at, n) of hit words, __items (item_ids found, as strings).
 
     A benchmark is sent to the executors in blocks of patterns of a checked size. With one block, the
-    usual case, nothing is shuffled. With more, their results meet by hash of the text.
+    usual case, nothing is shuffled. With more, their results meet by 128 bits of hashes of the text.
     """
     found = _found(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"]))), benchmark, window, block_bytes)
     return found.select(*(F.col(f"row.`{c}`") for c in keep), *(F.col(c).alias(f"__{c}") for c in ("n_words", "spans", "items")))

@@ -35,7 +35,7 @@ def _dates() -> str:
 _DATE_PADDED = rf"(?:1[7-9]|20)[0-9]{{2}}([\-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:1[7-9]|20)[0-9]{{2}}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:1[7-9]|20)[0-9]{{2}}"
 #: What may be personal data. Numbers that a check digit or the calendar refutes are left alone.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "phone": rf"(?<![0-9A-Za-z+])(?:{_PHONE_334}|{_PHONE_ABROAD}){_END}",
     "ssn": rf"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
     "date": rf"{_EDGE}(?:{_DATE_PADDED}|{_dates()}){_END}",

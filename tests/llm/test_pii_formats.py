@@ -54,3 +54,12 @@ def test_dates_of_a_form_are_permuted(replaced):
             datetime.date(y, mo, d)
         if "/" in new[0]:
             assert all(int(x[:2]) > 12 for x in new)
+
+
+def test_long_local_parts(spark):
+    """An address is replaced whatever the length of its local part, and as a whole."""
+    rows = [(1, "to " + "a1b" * 40 + "@mail.example.org now"), (2, "x" * 300), (3, "y" * 65 + "@b.de")]
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].n_email for k in (1, 2, 3)] == [1, 0, 1]
+    assert got[1].text.startswith("to ") and got[1].text.endswith("@mail.example.org now") and len(got[1].text) == len(rows[0][1])
+    assert "a1ba1ba1b" not in got[1].text and "y" * 9 not in got[3].text and got[2].text == rows[1][1]
