@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .places import adjusted
+
 
 def median(c: Column | str) -> Column:
     return F.percentile(c, F.lit(0.5))
@@ -101,11 +103,7 @@ def with_p_values(ranked: DataFrame, places: int = 9) -> DataFrame:
         return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
 
     p = ranked.withColumn("p", F.round(tail("z"), places))
-    up = W.orderBy("p", *[c for c in ranked.columns[:1]])
-    n = F.count("*").over(W.partitionBy())
-    raw = p.withColumn("_k", F.row_number().over(up)).withColumn("_a", F.col("p") * n / F.col("_k"))
-    down = W.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return raw.withColumn("p_adjusted", F.round(F.least(F.min("_a").over(down), F.lit(1.0)), places)).drop("_k", "_a")
+    return adjusted(p, "p", ranked.columns[0]).withColumn("p_adjusted", F.round("p_adjusted", places))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .places import numbered
+
 
 def selected_genes(expr: DataFrame, genes: DataFrame, gene: str = "gene_idx") -> DataFrame:
     """Expression of highly variable genes; all of it if none is flagged."""
@@ -16,7 +18,7 @@ def selected_genes(expr: DataFrame, genes: DataFrame, gene: str = "gene_idx") ->
 def aligned_genes(a: DataFrame, b: DataFrame) -> DataFrame:
     """(gene, old_a, old_b, gene_idx): genes of both tables, numbered in the order of the first."""
     both = a.select("gene", F.col("gene_idx").alias("old_a")).join(b.select("gene", F.col("gene_idx").alias("old_b")), "gene")
-    return both.withColumn("gene_idx", F.row_number().over(W.orderBy("old_a")) - 1)
+    return numbered(both, ["old_a", "gene"], "gene_idx").withColumn("gene_idx", F.col("gene_idx").cast("int"))
 
 
 def text_columns(df: DataFrame) -> DataFrame:

@@ -105,9 +105,9 @@ def f9(spark, sf):
 @query("F11", "SELECT n, round(corr(a, b), 6) AS corr FROM (SELECT count(*) OVER () AS n, a, b FROM (SELECT x AS a, row_number() OVER (ORDER BY x, obs_name) AS r FROM real) JOIN (SELECT x AS b, row_number() OVER (ORDER BY x, obs_name) AS r FROM pool) USING (r)) GROUP BY n")
 def f11(spark, sf):
     from ..operators.metrics import safe_corr
+    from ..operators.places import sorted_pairs
 
-    side = lambda df, n: df.select(F.col("x").alias(n), F.row_number().over(W.orderBy("x", "obs_name")).alias("r"))
-    both = side(real(spark, sf), "a").join(side(pool(spark, sf), "b"), "r")
+    both = sorted_pairs(real(spark, sf), pool(spark, sf), "x", "obs_name")
     return safe_corr(both, [], "a", "b")
 
 
