@@ -165,7 +165,10 @@ def j23(spark, sf):
     return _li(spark, sf).groupBy("gene").applyInPandas(run, "gene long, poisson double")
 
 
-@query("J28")
+@query("J28", """, part AS (SELECT obs_name, slice_id, ('0x' || substr(md5('42||' || obs_name), 1, 8))::BIGINT AS a, ('0x' || substr(md5('42||' || obs_name), 9, 8))::BIGINT AS b, ('0x' || substr(md5('42||' || obs_name), 17, 8))::BIGINT AS c FROM pool),
+ref AS (SELECT slice_id, x, y, row_number() OVER (PARTITION BY slice_id ORDER BY obs_name) - 1 AS place, count(*) OVER s AS m, stddev_pop(x) OVER s AS sx, stddev_pop(y) OVER s AS sy FROM real WINDOW s AS (PARTITION BY slice_id)),
+drawn AS (SELECT obs_name, ref.*, sqrt(-2 * ln((b + 1) / 4294967297)) AS r, 2 * pi() * c / 4294967296 AS t FROM part JOIN ref ON part.slice_id = ref.slice_id AND a % m = place)
+SELECT obs_name, round(x + greatest(sx * 0.08, 1e-6) * r * cos(t), 6) AS x, round(y + greatest(sy * 0.08, 1e-6) * r * sin(t), 6) AS y FROM drawn""")
 def j28(spark, sf):
     rows = spots(spark, sf).where("source = 'synthetic'").select("obs_name", "slice_id", "x", "y")
     out = O.jittered(rows, real(spark, sf), ["slice_id"], "obs_name", 0.08, 42)
