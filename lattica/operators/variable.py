@@ -1,6 +1,7 @@
 """Highly variable genes: a ranking by variance after stabilisation along the mean, and one by dispersion within bins of the mean.
 
-Expression is long (spot, gene, value); spots without a row for a gene count as 0. Only tables of one row a gene reach the driver.
+Expression is long (spot, gene, value); spots without a row for a gene count as 0. Only a row for each distinct mean reaches the driver
+(of whole counts, there are as many as distinct totals at most).
 """
 
 from __future__ import annotations
@@ -26,54 +27,157 @@ def gene_moments(expr: DataFrame, gene: str = "gene_idx", spot: str = "spot", va
     return expr.groupBy(gene).agg((F.sum(value) / F.lit(float(max(n, 1)))).alias("mean"), (whole / F.lit(float(max(n - 1, 1)))).alias("variance")), n
 
 
-def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = SPAN) -> np.ndarray:
-    """Value at each point of a tricube-weighted quadratic fitted to its floor(span n) nearest of the points (x, y), x in order.
+#: Points of a block whose moments stand for it, and rows of one step of a fit.
+_BLOCK = 64
+_ROWS = 2048
+_POWERS = 14
+
+
+def _moments(x: np.ndarray, often: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre and half width of each row of x, and the sums of often v^e and total v^e, v the place within the row from -1 to 1."""
+    low, high = x[:, 0], x[:, -1]
+    centre, half = (low + high) / 2, np.where(high > low, (high - low) / 2, 1.0)
+    v, power = (x - centre[:, None]) / half[:, None], np.ones_like(x)
+    out = np.empty((len(x), 2, _POWERS))
+    for e in range(_POWERS):
+        out[:, 0, e], out[:, 1, e] = (often * power).sum(axis=1), (total * power).sum(axis=1)
+        power = power * v
+    return centre, half, out
 
-    Where a window has too few distinct x for a quadratic, the weighted mean is taken.
+
+class LocalQuadratic:
+    """Tricube-weighted quadratic fits over the floor(span n) nearest points, for any number of them.
+
+    The points are (x, y), x in order; of a point that stands for several, often is their number and y their mean. A window is a run of the
+    points, found by bisection. The tricube weight is a polynomial on either side of the window's centre, so whole blocks of points enter
+    by their moments, joined in pairs level by level, and only the blocks at the ends and at the centre point by point: the work of
+    a fit grows with the logarithm of the number of points.
     """
-    q = max(1, int(span * len(x)))
-    out = np.empty(len(at))
-    for i, p in enumerate(at):
-        # the q nearest are within q places on either side
-        j = int(np.searchsorted(x, p))
-        u, v = x[max(0, j - q) : j + q] - p, y[max(0, j - q) : j + q]
-        d = np.abs(u)
-        h = np.partition(d, q - 1)[q - 1]
-        inside = d < h if h > 0 else d <= 0
-        u, v, d = u[inside], v[inside], d[inside]
-        scale = h or 1.0
-        u, w = u / scale, (1 - (d / scale) ** 3) ** 3
-        s = [float((w * u**e).sum()) for e in range(5)]
-        t = [float((w * u**e * v).sum()) for e in range(3)]
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, span: float, often: np.ndarray | None = None):
+        often = np.ones(len(x)) if often is None else np.asarray(often, dtype=float)
+        self.ends = np.cumsum(often).astype(np.int64)
+        self.q = max(1, int(span * self.ends[-1]))
+        # blocks are filled with points that occur 0 times
+        fill = -len(x) % _BLOCK
+        self.n, self.x = len(x), np.concatenate([x, np.full(fill, x[-1])])
+        self.often, self.total = np.concatenate([often, np.zeros(fill)]), np.concatenate([often * y, np.zeros(fill)])
+        self.levels, size = [], _BLOCK
+        while size <= len(self.x):
+            whole = len(self.x) // size * size
+            self.levels.append(_moments(*(c[:whole].reshape(-1, size) for c in (self.x, self.often, self.total))))
+            size *= 2
+
+    def _at(self, place: np.ndarray) -> np.ndarray:
+        """The x of a place among all points, each as often as it occurs."""
+        return self.x[np.searchsorted(self.ends, place, side="right")]
+
+    def _added(self, sums: np.ndarray, p: np.ndarray, h: np.ndarray, rows: np.ndarray, level: int, nodes: np.ndarray, sign: float) -> None:
+        """Adds what nodes of a level give to the sums of the rows; sign: -1 where they lie above the row's p, 1 below."""
+        centre, half, moments = (c[nodes] for c in self.levels[level])
+        a, b = (half / h[rows])[:, None], ((centre - p[rows]) / h[rows])[:, None]
+        # moments about p in units of h, one power after the other: u^e = u^(e-1) (a v + b)
+        now, about = moments, np.empty_like(moments)
+        for e in range(_POWERS):
+            about[:, :, e] = now[:, :, 0]
+            now = a[:, :, None] * now[:, :, 1:] + b[:, :, None] * now[:, :, :-1]
+        for e in range(5):
+            sums[rows, :, e] += about[:, :, e] + sign * 3 * about[:, :, e + 3] + 3 * about[:, :, e + 6] + sign * about[:, :, e + 9]
+
+    def _blocks(self, sums, p, h, first: np.ndarray, last: np.ndarray, sign: float) -> None:
+        """Adds the blocks from first to before last."""
+        first, last, level = first.copy(), np.maximum(first, last), 0
+        while level < len(self.levels) and (first < last).any():
+            rows = np.flatnonzero((first < last) & (first % 2 == 1))
+            if len(rows):
+                self._added(sums, p, h, rows, level, first[rows], sign)
+                first[rows] += 1
+            rows = np.flatnonzero((first < last) & (last % 2 == 1))
+            if len(rows):
+                last[rows] -= 1
+                self._added(sums, p, h, rows, level, last[rows], sign)
+            first, last, level = first // 2, last // 2, level + 1
+
+    def _points(self, sums, p, h, rows: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Adds the points of a block for each row, as far as they are from place low to before high."""
+        at = block[:, None] * _BLOCK + np.arange(_BLOCK)
+        u = (self.x[at] - p[rows, None]) / h[rows, None]
+        w = np.where((at >= low[rows, None]) & (at < high[rows, None]), (1 - np.minimum(np.abs(u), 1) ** 3) ** 3, 0.0)
+        one, two = w * self.often[at], w * self.total[at]
+        for e in range(5):
+            sums[rows, 0, e] += one.sum(axis=1)
+            sums[rows, 1, e] += two.sum(axis=1)
+            one, two = one * u, two * u
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        """The fit's value at each x."""
+        return np.concatenate([self._some(at[k : k + _ROWS]) for k in range(0, len(at), _ROWS)]) if len(at) else np.empty(0)
+
+    def _some(self, p: np.ndarray) -> np.ndarray:
+        # the window of q places of least reach
+        low, high = np.zeros(len(p), dtype=np.int64), np.full(len(p), self.ends[-1] - self.q)
+        while (low < high).any():
+            mid = (low + high) // 2
+            right = (p - self._at(mid) > self._at(np.minimum(mid + self.q, self.ends[-1] - 1)) - p) & (low < high)
+            low, high = np.where(right, mid + 1, low), np.where(right, high, mid)
+        h = np.maximum(np.abs(p - self._at(low)), np.abs(self._at(low + self.q - 1) - p))
+        first = np.searchsorted(self.ends, low, side="right")
+        last = np.searchsorted(self.ends, low + self.q - 1, side="right") + 1
+        # where all q are at p, all points at p count
+        narrow = h <= 0
+        x = self.x[: self.n]
+        first, last = np.where(narrow, np.searchsorted(x, p, side="left"), first), np.where(narrow, np.searchsorted(x, p, side="right"), last)
+        h = np.where(narrow, 1.0, h)
+        sums = np.zeros((len(p), 2, 5))
+        a, b = first // _BLOCK, (last - 1) // _BLOCK
+        middle = np.clip(np.searchsorted(x, p), first, last - 1) // _BLOCK
+        rows = np.arange(len(p))
+        self._points(sums, p, h, rows, a, first, last)
+        for block, other in ((middle, middle != a), (b, (b != a) & (b != middle))):
+            self._points(sums, p, h, rows[other], block[other], first, last)
+        self._blocks(sums, p, h, a + 1, middle, 1.0)
+        self._blocks(sums, p, h, middle + 1, b, -1.0)
+        s, t = sums[:, 0].T, sums[:, 1].T
         minor = s[2] * s[4] - s[3] * s[3]
         det = s[0] * minor - s[1] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * s[3] - s[2] * s[2])
         top = t[0] * minor - s[1] * (t[1] * s[4] - t[2] * s[3]) + s[2] * (t[1] * s[3] - t[2] * s[2])
-        out[i] = top / det if det > 1e-9 * s[0] ** 3 else t[0] / s[0]
-    return out
+        fits = det > 1e-9 * s[0] ** 3
+        return np.where(fits, top / np.where(fits, det, 1.0), t[0] / s[0])
+
+
+def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = SPAN, often: np.ndarray | None = None) -> np.ndarray:
+    """Value at each point of a tricube-weighted quadratic fitted to its floor(span n) nearest of the points (x, y), x in order.
+
+    Where a window has too few distinct x for a quadratic, the weighted mean is taken. often: how many points each (x, y) stands for.
+    """
+    return LocalQuadratic(x, y, span, often)(np.asarray(at, dtype=float))
 
 
 def stabilised_variance(expr: DataFrame, gene: str = "gene_idx", spot: str = "spot", value: str = "value", span: float = SPAN) -> DataFrame:
     """(gene, mean, variance, score): the variance of each gene's values over the standard deviation expected at its mean, values clipped
     at mean + sd sqrt(n).
 
-    One aggregation gives the moments; log variance is fitted on log mean over genes, each gene's window in a task; a second pass over the
+    One aggregation gives the moments; log variance is fitted on log mean once for each distinct mean, in tasks; a second pass over the
     expression sums the clipped values. Constant genes score 0. A ValueError where the means are too few to fit.
     """
     found, n = gene_moments(expr, gene, spot, value)
     genes = stored(found, "gene-moments")
-    kind = dict(genes.dtypes)[gene]
     fitted = genes.where("variance > 0 and mean > 0").select(gene, F.log10("mean").alias("x"), F.log10("variance").alias("y"))
-    points = fitted.select("x", "y").toPandas().sort_values(["x", "y"])  # a row for each gene
-    if points["x"].nunique() < LEAST_MEANS:
-        raise ValueError(f"{points['x'].nunique()} distinct means are too few for a local fit")
-    x, y = points["x"].to_numpy(), points["y"].to_numpy()
+    # genes of one mean differ in y alone, of which a fit takes the mean: a row for each distinct mean
+    means = stored(fitted.groupBy("x").agg(F.count("*").alias("n"), F.avg("y").alias("y")), "gene-means")
+    points = means.toPandas().sort_values("x")
+    if len(points) < LEAST_MEANS:
+        raise ValueError(f"{len(points)} distinct means are too few for a local fit")
+    x, y, often = (points[c].to_numpy() for c in ("x", "y", "n"))
 
     def run(parts):
+        fit = LocalQuadratic(x, y, span, often)
         for part in parts:
-            yield pd.DataFrame({gene: part[gene], "fit": local_quadratic(x, y, part["x"].to_numpy(), span)})
+            yield pd.DataFrame({"x": part["x"], "fit": fit(part["x"].to_numpy())})
 
+    fits = means.select("x").repartition("x").mapInPandas(run, "x double, fit double")
     sd = F.pow(F.lit(10.0), F.col("fit") / 2)
-    expected = stored(genes.join(fitted.repartition(gene).mapInPandas(run, f"`{gene}` {kind}, fit double"), gene).select(gene, "mean", sd.alias("sd"), (F.col("mean") + sd * F.sqrt(F.lit(float(n)))).alias("top")), "gene-fits")
+    expected = stored(genes.join(fitted.join(fits, "x").select(gene, "fit"), gene).select(gene, "mean", sd.alias("sd"), (F.col("mean") + sd * F.sqrt(F.lit(float(n)))).alias("top")), "gene-fits")
     clipped = F.least(F.col(value).cast("double"), F.col("top"))
     sums = expr.join(expected, gene).groupBy(gene).agg(F.sum(clipped).alias("s"), F.sum(clipped * clipped).alias("q"))
     m, size = F.col("mean"), F.lit(float(n))

@@ -1,6 +1,7 @@
 """Variable genes against numpy; packages that are killed; an evaluation that is stopped and goes on."""
 
 import os
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,42 @@ def test_stabilised_variance_equals_numpy(spark):
     assert chosen == {g for _, g in sorted((-got[g].score, g) for g in got)[:10]}
 
 
+def point_by_point(x, y, at, span):
+    """The local quadratic by its definition, a window at a time; numbers of the quadratic come from least squares."""
+    q, out = max(1, int(span * len(x))), []
+    for p in at:
+        d = np.abs(x - p)
+        h = np.sort(d)[q - 1]
+        inside = d < h if h > 0 else d <= 0
+        w = (1 - (d[inside] / (h or 1.0)) ** 3) ** 3
+        if len(np.unique(x[inside])) < 3:
+            out.append((w * y[inside]).sum() / w.sum())
+            continue
+        root = np.sqrt(w)
+        out.append(np.linalg.lstsq(np.vander((x[inside] - p) / h, 3, increasing=True) * root[:, None], y[inside] * root, rcond=None)[0][0])
+    return np.array(out)
+
+
+def test_local_quadratic_in_blocks_equals_its_definition():
+    rng = np.random.default_rng(4)
+    for x in (np.sort(rng.normal(0, 1, 3000)), np.sort(rng.gamma(0.3, 2, 1201)), np.repeat(np.sort(rng.normal(0, 1, 150)), rng.integers(1, 40, 150)), np.repeat([0.0, 1.0, 2.0, 5.0], [400, 30, 200, 1])):
+        y = np.sin(x) + rng.normal(0, 0.3, len(x))
+        distinct, where, often = np.unique(x, return_inverse=True, return_counts=True)
+        mean = np.bincount(where, y) / often
+        for span in (0.3, 0.02, 1.0):
+            want = point_by_point(x, y, distinct, span)
+            assert V.local_quadratic(x, y, distinct, span) == pytest.approx(want, rel=1e-8, abs=1e-9)
+            assert V.local_quadratic(distinct, mean, distinct, span, often) == pytest.approx(want, rel=1e-8, abs=1e-9)
+
+
+def test_local_fits_of_many_genes_take_little_time():
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.normal(0, 1, 200_000))
+    began = time.process_time()
+    got = V.local_quadratic(x, x * x, x[::10])
+    assert got == pytest.approx(x[::10] ** 2, abs=1e-9) and time.process_time() - began < 60  # windows of 60,000 points
+
+
 def test_too_few_means_fall_back(spark):
     df = spark.createDataFrame([(s, g, float(1 + s * g * g % 7)) for s in range(9) for g in range(4)], "spot int, gene_idx int, value double")
     with pytest.raises(ValueError, match="too few"):
