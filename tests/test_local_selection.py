@@ -56,3 +56,13 @@ def test_count_laws_run_on_executors_after_a_call_on_the_driver(spark):
     fits.fit_counts(np.array([0, 1, 2, 5, 0, 3]))
     for name in ("J23", "O4", "E32"):
         assert plans.queries()[name](spark, "/root/testdata/sf0.001").limit(5).collect()
+
+
+def test_poisson_likelihood_takes_a_row_for_each_value(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    seen = []
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: seen.append(self._df) or self._df)
+    plans.queries()["J23"](spark, "/root/testdata/sf0.001")
+    rows = seen[0].collect()
+    assert len({(r["gene"], r["value"]) for r in rows}) == len(rows) and sum(r["n"] for r in rows) > len(rows)
