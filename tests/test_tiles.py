@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import spatial as N
 from lattica.operators import tiles as T
@@ -78,3 +79,34 @@ def test_neighbours_in_small_tiles(spark):
     np.fill_diagonal(d, np.inf)
     near = got[got.obs_name == "o3"].neighbour.tolist()
     assert near == [f"o{j}" for j in np.argsort(d[3])[:4]]
+
+
+def test_large_groups_have_larger_tiles_not_more(spark):
+    df = spark.range(40_000).select(F.lit("g").alias("g"), "id")
+    assert T.with_tiles(df, "g", "id", 64).select("_tile", "_tiles").distinct().count() == T.MANY
+    assert T.with_tiles(df.limit(100), "g", "id", 64).first()["_tiles"] == 2
+
+
+def test_a_pair_of_tiles_holds_a_strip_of_distances():
+    rng = np.random.default_rng(2)
+    one, two = (pd.DataFrame({"x": rng.normal(0, 1, n), "y": rng.normal(0, 1, n)}) for n in (900, 3000))
+    seen, out = 0, []
+    for rows, d2 in T._squares(one, two):
+        seen = max(seen, d2.size)
+        assert rows.start == len(out)
+        out.extend(d2.copy())
+    assert seen <= T._STRIP and np.array(out) == pytest.approx((one.x.to_numpy()[:, None] - two.x.to_numpy()) ** 2 + (one.y.to_numpy()[:, None] - two.y.to_numpy()) ** 2)
+
+
+def test_pairs_of_a_group_are_dealt_by_tiles(spark):
+    df = spark.createDataFrame(POINTS)
+    got = {(r.src, r.dst): r.d for r in N.pairwise(df, "slice_id", "obs_name", 16).collect()}
+    assert len(got) == 90 * 90 + 41 * 41 + 1
+    d = distances("a")
+    assert all(got[f"o{i}", f"o{j}"] == pytest.approx(d[i, j], abs=1e-12) for i in range(90) for j in range(0, 90, 7))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = N.pairwise(df.where("slice_id = 'a'"), "slice_id", "obs_name", 16).select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts > 1
