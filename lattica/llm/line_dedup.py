@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ def _place(docs: DataFrame) -> tuple:
 
 
 def _trimmed(line):
-    edge = F.substring(line, 1, 1).isin(*_TRIM) | F.substring(line, -1, 1).isin(*_TRIM)
+    # the ends are looked at as bytes: a substring would count the characters of the line
+    edge = functools.reduce(operator.or_, (f(line, F.lit(c)) for c in _TRIM for f in (F.startswith, F.endswith)))
     return F.when(edge, F.btrim(line, F.lit(_TRIM))).otherwise(line)
 
 
@@ -71,8 +74,8 @@ def _needed(similarity: float, sketch: int) -> int:
 def _sketched(lines: DataFrame, shingle: int, sketch: int) -> DataFrame:
     """lines with `least`, the first hashes (at most `sketch`) in the order of their shingles."""
     tail = f".{{{shingle - 1}}}"
-    # of one first letter only what follows it need be told apart
-    patterns = [f"(?s)(?=([{c}]{tail}))" if len(c) > 1 else f"(?s){c}(?=({tail}))" for c in _CLASSES] + [f"(?s)(?=([^{''.join(_CLASSES)}]{tail}))"]
+    # of one first letter only what follows it need be told apart; the last takes in its first character, so that none is halved
+    patterns = [f"(?s)(?=([{c}]{tail}))" if len(c) > 1 else f"(?s){c}(?=({tail}))" for c in _CLASSES] + [f"(?s)(?=([^{''.join(_CLASSES)}]{tail}))."]
     out = lines.withColumn("least", F.array().cast("array<int>"))
     for k, pattern in enumerate(patterns):
         more = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda s: F.hash(s))))
@@ -96,16 +99,27 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _shingles(line, shingle: int):
+    """The shingles of a line in its order, as hashes; cut from four bytes a character, where each is found at once."""
+    starts = lambda wide: F.when(
+        F.octet_length(wide) >= 4 * shingle, F.sequence(F.lit(1), F.octet_length(wide) - 4 * shingle + 1, F.lit(4))
+    ).otherwise(F.array().cast("array<int>"))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), lambda wide: F.transform(starts(wide), lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * shingle))))), F.lit(0))
+
+
 def _grams(line, shingle: int):
     """The set of shingles of a line, as hashes."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
+    return F.array_distinct(_shingles(line, shingle))
 
 
 def _jaccard(one, two, similarity: float):
-    """Whether two sets are that similar. Each is computed once for a pair: a filter would compute a column anew wherever it is named."""
-    sets = F.array(F.struct(one.alias("a"), two.alias("b")))
-    sizes = F.transform(sets, lambda t: F.struct(F.size(t["a"]).alias("n"), F.size(t["b"]).alias("m"), F.size(F.array_intersect(t["a"], t["b"])).alias("both")))
-    return F.exists(sizes, lambda t: (t["both"] > 0) & (t["both"] >= (t["n"] + t["m"] - t["both"]) * similarity))
+    """Whether the sets of two lists are that similar. Each is computed once for a pair: a filter would compute a column anew wherever it is named.
+    Of most pairs the sizes of the lists, repeats included, and of their union tell already that they are not."""
+    lists = F.array(F.struct(one.alias("a"), two.alias("b")))
+    joint = F.transform(lists, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), F.size(F.array_union(t["a"], t["b"])).alias("all")))
+    alike = lambda n, m, t: (n + m > t["all"]) & (n + m - t["all"] >= t["all"] * similarity)
+    sets = lambda t: alike(F.size(F.array_distinct(t["a"])), F.size(F.array_distinct(t["b"])), t)
+    return F.exists(joint, lambda t: F.when(alike(F.size(t["a"]), F.size(t["b"]), t), sets(t)).otherwise(False))
 
 
 def _alike(one, two, similarity: float, sketch: int):
@@ -122,7 +136,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
         return texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("least").alias(f"s{x}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(F.when(_alike(F.col("sa"), F.col("sb"), similarity, sketch), _jaccard(_grams(F.col("la"), shingle), _grams(F.col("lb"), shingle), similarity)).otherwise(False)).select("ra", "rb")
+    return both.where(F.when(_alike(F.col("sa"), F.col("sb"), similarity, sketch), _jaccard(_shingles(F.col("la"), shingle), _shingles(F.col("lb"), shingle), similarity)).otherwise(False)).select("ra", "rb")
 
 
 def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -235,7 +249,7 @@ def _linked(entries: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 def repeats(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketch: int = SKETCH, band: int = BAND) -> tuple[DataFrame, int]:
     """(doc, row, drop), rows: for each row of docs that loses lines the numbers (from 0) of those lines, and how many such rows there are."""
     marks = _sketched(_lines(docs), shingle, sketch).select("doc", "row", "at", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), "least")
-    marks = stored(marks, "lines")
+    marks = stored(marks, "lines", **{"parquet.enable.dictionary": "false"})  # hashes seldom repeat
     bands = marks.select("id", F.explode(_bands(F.col("least"), sketch, band, similarity)).alias("key"))
     shared = cut(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key"))
     entries = cut(bands.join(_small(shared, shared.count()), "key", "left_semi").distinct())
