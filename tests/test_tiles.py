@@ -110,3 +110,11 @@ def test_pairs_of_a_group_are_dealt_by_tiles(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert parts > 1
+
+
+def test_tasks_of_pairs_are_as_many_as_the_pairs_need(spark):
+    df = spark.createDataFrame(POINTS)
+    sizes = [r["count"] for r in N.pairwise(df, "slice_id", "obs_name", 16).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 90 * 90 + 41 * 41 + 1 and len(sizes) > 8 and max(sizes) < sum(sizes) / 4
+    none = spark.createDataFrame([(None, "o", 0.0, 0.0)], "slice_id string, obs_name string, x double, y double")
+    assert N.pairwise(none, "slice_id", "obs_name").count() == 0
