@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from lattica import plans
 from lattica.operators import fits, methods, paradigm
 from lattica.sources import loaders
 
@@ -130,3 +131,34 @@ def test_names_of_a_slice_pool(spark):
     real = spark.createDataFrame([("s 1", "L/2")] * 3, "slice_id string, label string")
     got = paradigm.slice_pool(drawn, real, "splat", "t", 1, 0.5, "at").collect()
     assert sorted((r.obs_name, r.n_real_train_condition) for r in got) == [("syn_splat_s_1_L_2_0", 3), ("syn_splat_s_1_L_2_1", 3), ("syn_splat_s_1_new_0", 0)]
+
+
+def test_likelihoods_at_given_parameters(drawn):
+    for ys in drawn.values():
+        y, count = np.unique(ys, return_counts=True)
+        poisson = lambda v: v * math.log(3.5) - 3.5 - math.lgamma(v + 1)
+        p0 = min(max((float((ys == 0).mean()) - math.exp(-3.5)) / (1 - math.exp(-3.5)), 1e-12), 1 - 1e-12)
+        assert fits.zip_loglik(y, 3.5, count) == pytest.approx(inflated(map(int, ys), p0, poisson), abs=1e-6)
+        assert fits.zip_loglik(ys, 3.5) == pytest.approx(fits.zip_loglik(y, 3.5, count), abs=1e-6)
+        assert fits.zinb_loglik(y, 3.5, 1.7, -1.2, count) == pytest.approx(inflated(map(int, ys), 1 / (1 + math.exp(1.2)), lambda v: nb(v, 3.5, 1.7)), abs=1e-6)
+
+
+def test_all_four_laws_of_a_gene_with_zeros_and_nulls(spark, drawn, tmp_path):
+    import duckdb
+
+    rows = [(i % 7, g, float(v)) for g, ys in enumerate(drawn.values()) for i, v in enumerate(ys)]
+    rows += [(1, 2, None), (1, None, 0.0), (2, None, 4.0), (3, 11, None), (4, 12, 50.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    for name in ("embeddings", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{name}.parquet')")
+    laws = ["poisson", "nb", "zip", "zinb"]
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT gene, {', '.join(laws)} FROM ({plans.oracle_sql()['J23']})").fetchall()}
+    got = {r.gene: tuple(r[c] for c in laws) for r in plans.queries()["J23"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len(got) == 9
+    assert got[11] == want[11] == (None,) * 4
+    for gene in set(got) - {11}:
+        assert got[gene] == pytest.approx(want[gene], abs=0.011)
+    ys = [int(y) for y in drawn["holes"]]
+    assert got[2][2:] == pytest.approx((inflated(ys, sum(y == 0 for y in ys) / len(ys), lambda y: y * math.log(25) - 25 - math.lgamma(y + 1)), inflated(ys, 1 / (1 + math.exp(2)), lambda y: nb(y, 25, 4))), abs=0.011)
