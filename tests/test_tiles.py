@@ -116,5 +116,7 @@ def test_tasks_of_pairs_are_as_many_as_the_pairs_need(spark):
     df = spark.createDataFrame(POINTS)
     sizes = [r["count"] for r in N.pairwise(df, "slice_id", "obs_name", 16).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 90 * 90 + 41 * 41 + 1 and len(sizes) > 8 and max(sizes) < sum(sizes) / 4
+    assert T.pair_tasks(df, "slice_id", 16) == 39  # 9,782 pairs of 256 a task
+    assert T.pair_tasks(df, "slice_id", 2) == 4 * (16 * 16 + 16 * 16 + 1)  # groups a and b have 16 tiles, however small
     none = spark.createDataFrame([(None, "o", 0.0, 0.0)], "slice_id string, obs_name string, x double, y double")
     assert N.pairwise(none, "slice_id", "obs_name").count() == 0
